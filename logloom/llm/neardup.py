@@ -167,7 +167,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return moved.where("a <> b").distinct()
 
-    now = durable(edges.where("a <> b").select("a", "b").distinct())
+    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
         twice = now.groupBy("a").count().where("count > 1").select("a")
         chained = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
