@@ -15,14 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df`, computed once into the checkpoint folder that all machines share, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir. Only a session without one (tests) gets a local one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_CHECKPOINTS
+
 
-    The folder is the session's spark.checkpoint.dir; only a session without one (tests) gets a folder of its own.
-    """
+def durable(df: DataFrame) -> DataFrame:
+    """`df`, computed once into the checkpoint folder that all machines share, so that lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _LOCAL_CHECKPOINTS)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -97,10 +99,10 @@ def word_hashes(encoded: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarr
     starts, ends = edge[0::2], edge[1::2]
     lengths = np.fromiter((len(x) + 1 for x in encoded), np.int64, len(encoded))
     owner = np.searchsorted(np.cumsum(lengths), starts, side="right")
-    return _span_hashes(data, starts, ends), owner
+    return span_hashes(data, starts, ends), owner
 
 
-def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _power_table(len(data) + 1)
     sums = np.empty(len(data) + 1, U64)
     sums[0] = 0
