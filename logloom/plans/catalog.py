@@ -1,10 +1,21 @@
-"""The registered queries by name, and the same results in DuckDB SQL."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from logloom.plans import (  # noqa: F401  each registers its queries
+    access_plans,
+    audit_plans,
+    codec_plans,
+    group_plans,
+    maintenance_plans,
+    metric_plans,
+    offset_plans,
+    replication_plans,
+    scan_plans,
+    schema_plans,
+    stream_plans,
+    tier_plans,
+)
+from logloom.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
