@@ -16,6 +16,7 @@ which queries go in blocks.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from dataclasses import dataclass
 
@@ -36,9 +37,9 @@ class Params:
 
     k: int = 5
     scale: int = 256
-    pivots: int = 48
-    tree_rows: int = 8192
-    page: int = 48
+    pivots: int = 16
+    tree_rows: int = 16384
+    page: int = 256
     block: int = 2048
 
 
@@ -63,49 +64,59 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """An M-tree over distinct vectors. Ids of equal vectors share an entry, smallest first."""
+    """An M-tree over distinct vectors. Ids of equal vectors share an entry, smallest first. Entries of a leaf page are neighbours in memory.
+
+    A leaf page is (first entry, end, distances to the parent object); an inner page (objects, radii, distances to the parent object,
+    pages below).
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, top: int, page: int) -> None:
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
-        self.x, first, back = np.unique(x, axis=0, return_index=True, return_inverse=True)
-        back = back.reshape(-1)
-        by = np.argsort(back, kind="stable")
-        cuts = np.flatnonzero(np.diff(back[by])) + 1
-        self.ids = np.split(ids[by], cuts)
-        spare = np.maximum(top - (self.x * self.x).sum(axis=1), 0)
-        self.points = np.column_stack((self.x.astype(np.float64), np.sqrt(spare.astype(np.float64))))
-        self.pages: list[tuple] = []  # (leaf, rows of the routing objects, radii, distances to the parent object, pages below)
-        self.root_object = self.points.mean(axis=0)
-        self.root = self._build(np.arange(len(self.x)), self.root_object, page)
-        self.root_radius = float(np.sqrt(((self.points - self.root_object) ** 2).sum(axis=1)).max(initial=0.0))
-
-    def _build(self, rows: np.ndarray, parent: np.ndarray, page: int) -> int:
+        distinct, back = np.unique(x, axis=0, return_inverse=True)
+        by = np.argsort(back.reshape(-1), kind="stable")
+        starts = np.searchsorted(back.reshape(-1)[by], np.arange(len(distinct) + 1))
+        spare = np.maximum(top - (distinct * distinct).sum(axis=1), 0)
+        points = np.column_stack((distinct.astype(np.float64), np.sqrt(spare.astype(np.float64))))
+        self.pages: list[tuple] = []
+        self.leaves: list[np.ndarray] = []
+        self.filled = 0
+        self.root_object = points.mean(axis=0)
+        self.root = self._build(points, np.arange(len(points)), self.root_object, page)
+        self.root_radius = float(_gap(points, self.root_object).max(initial=0.0))
+        entries = np.concatenate(self.leaves)
+        del self.leaves
+        #: Whole numbers that floats hold exactly, so that products are exact as well (see `search`).
+        self.exact = top < 1 << 52
+        self.x = distinct[entries].astype(np.float64) if self.exact else distinct[entries]
+        self.ids = np.concatenate([ids[by[starts[e] : starts[e + 1]]] for e in entries])
+        self.id_starts = np.concatenate(([0], np.cumsum((starts[1:] - starts[:-1])[entries])))
+
+    def _build(self, points: np.ndarray, rows: np.ndarray, parent: np.ndarray, page: int) -> int:
         if len(rows) <= page:
-            gap = np.sqrt(((self.points[rows] - parent) ** 2).sum(axis=1))
-            self.pages.append((True, rows, None, gap, None))
+            self.leaves.append(rows)
+            self.pages.append((True, self.filled, self.filled + len(rows), _gap(points[rows], parent)))
+            self.filled += len(rows)
             return len(self.pages) - 1
         fan = min(page, -(-len(rows) // page) * 2)
         seeds = [int(rows[0])]
-        least = ((self.points[rows] - self.points[rows[0]]) ** 2).sum(axis=1)
+        own = points[rows]
+        least = _gap(own, own[0])
         for _ in range(fan - 1):  # objects far from each other
             nxt = int(least.argmax())
-            if not least[nxt] > 0:
-                break
             seeds.append(int(rows[nxt]))
-            least = np.minimum(least, ((self.points[rows] - self.points[rows[nxt]]) ** 2).sum(axis=1))
-        centres = self.points[seeds]
-        away = (centres**2).sum(axis=1)[None, :] - 2 * self.points[rows] @ centres.T
-        home = away.argmin(axis=1)
+            least = np.minimum(least, _gap(own, own[nxt]))
+        centres = points[seeds]
+        home = ((centres**2).sum(axis=1)[None, :] - 2 * own @ centres.T).argmin(axis=1)
         below, radii, objects = [], [], []
-        for j, seed in enumerate(seeds):
-            own = rows[home == j]
-            if len(own):
-                objects.append(seed)
-                radii.append(float(np.sqrt(((self.points[own] - centres[j]) ** 2).sum(axis=1).max())))
-                below.append(self._build(own, centres[j], page))
-        gap = np.sqrt(((self.points[objects] - parent) ** 2).sum(axis=1))
-        self.pages.append((False, np.array(objects), np.array(radii), gap, below))
+        for j in range(len(seeds)):
+            part = rows[home == j]
+            if len(part):
+                objects.append(centres[j])
+                radii.append(float(_gap(points[part], centres[j]).max()))
+                below.append(self._build(points, part, centres[j], page))
+        objects = np.array(objects)
+        self.pages.append((False, objects, np.array(radii), _gap(objects, parent), below))
         return len(self.pages) - 1
 
     def search(self, q: np.ndarray, own: int, k: int, reach: float, best: list[tuple[int, int]]) -> int:
@@ -114,47 +125,54 @@ class Tree:
         `reach` is |q|^2 + M: a score s lies at the squared distance reach - 2 s.
         """
         point = np.append(q, 0).astype(np.float64)
-        slack = 1e-6 * (1.0 + np.sqrt(reach))
-
-        def bound() -> float:
-            return np.inf if len(best) < k else float(np.sqrt(max(reach - 2.0 * best[0][0], 0.0))) + slack
-
+        vector = point[:-1] if self.exact and reach < 1 << 52 else q
+        slack = 1e-6 * (1.0 + math.sqrt(reach))
+        limit = math.inf if len(best) < k else math.sqrt(max(reach - 2.0 * best[0][0], 0.0)) + slack
         to_root = float(np.sqrt(((point - self.root_object) ** 2).sum()))
         todo = [(max(0.0, to_root - self.root_radius), self.root, to_root)]
         computed = 1
         while todo:
-            nearest, page, to_parent = heapq.heappop(todo)
-            limit = bound()
+            nearest, number, to_parent = heapq.heappop(todo)
             if nearest > limit:
                 break
-            leaf, rows, radii, gap, below = self.pages[page]
-            may = np.flatnonzero(np.abs(to_parent - gap) - (0.0 if leaf else radii) <= limit)
-            computed += len(may)
-            if not len(may):
-                continue
-            if leaf:
-                scores = self.x[rows[may]] @ q
-                worst = best[0][0] if len(best) >= k else None
-                for i in range(len(may)) if worst is None else np.flatnonzero(scores >= worst):
-                    s = int(scores[i])
-                    for one in self.ids[rows[may[i]]][: k + 1]:
+            page = self.pages[number]
+            if page[0]:
+                _, first, end, gap = page
+                may = np.flatnonzero(np.abs(gap - to_parent) <= limit)
+                computed += len(may)
+                x = self.x[first:end] if 2 * len(may) > end - first else self.x[first + may]
+                scores = x @ vector if x.dtype == vector.dtype else x.astype(np.int64) @ q
+                good = np.flatnonzero(scores >= best[0][0]) if len(best) >= k else np.argsort(-scores, kind="stable")
+                for i in good.tolist():
+                    s, at = int(scores[i]), first + (i if len(x) == end - first else int(may[i]))
+                    for one in self.ids[self.id_starts[at] : min(self.id_starts[at] + k + 1, self.id_starts[at + 1])].tolist():
                         if one != own:
-                            item = (s, -int(one))
+                            item = (s, -one)
                             if len(best) < k:
                                 heapq.heappush(best, item)
                             elif item > best[0]:
                                 heapq.heapreplace(best, item)
                             else:
                                 break
+                if len(good) and len(best) >= k:
+                    limit = math.sqrt(max(reach - 2.0 * best[0][0], 0.0)) + slack
             else:
-                gone = np.sqrt(((self.points[rows[may]] - point) ** 2).sum(axis=1))
-                for i, d in zip(may, gone, strict=True):
-                    low = max(0.0, d - radii[i])
+                _, objects, radii, gap, below = page
+                may = np.flatnonzero(np.abs(gap - to_parent) - radii <= limit)
+                computed += len(may)
+                gone = _gap(objects[may], point)
+                for i, d, low in zip(may.tolist(), gone.tolist(), np.maximum(gone - radii[may], 0.0).tolist(), strict=True):
                     if low <= limit:
-                        heapq.heappush(todo, (low, below[i], float(d)))
+                        heapq.heappush(todo, (low, below[i], d))
         return computed
 
 
+def _gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of rows to a point."""
+    d = x - y
+    return np.sqrt(np.einsum("ij,ij->i", d, d))
+
+
 def search(rows: DataFrame, queries: DataFrame, p: Params | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query, fewer if there are fewer candidates, ties to
     the smaller vec_id; never the row with the query's own id.
