@@ -179,8 +179,7 @@ class Model:
         own = [kneser_ney(*languages[x]) for x in self.languages]
         self.sharpness, self.mean, self.deviation = 50.0, np.zeros(len(own)), np.full(len(own), np.inf)
         self.levels: list[tuple[HashArray, np.ndarray, HashArray, np.ndarray]] = []
-        lower: tuple | None = None
-        for k in range(ORDER):
+        for k in range(ORDER if own else 0):
             context = np.unique(np.concatenate([m[k][2] for m in own]))
             left = np.zeros((len(context), len(own)))
             for j, m in enumerate(own):

@@ -173,16 +173,20 @@ def _gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("vec_id").agg(F.min("q").alias("q"))
+
+
 def search(rows: DataFrame, queries: DataFrame, p: Params | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query, fewer if there are fewer candidates, ties to
     the smaller vec_id; never the row with the query's own id.
 
-    `rows` and `queries` hold vec_id and q (see `quantised`); ids of candidates are taken as distinct, repeated rows as
-    one. Empty tables give no rows.
+    `rows` and `queries` hold vec_id and q (see `quantised`). Rows that repeat an id count as one; of different vectors with
+    the same id the first in order counts. Empty tables give no rows.
     """
     p = p or Params()
     spark = rows.sparkSession
-    rows = durable(rows.dropDuplicates(["vec_id"]))
+    rows, queries = durable(_distinct(rows)), _distinct(queries)
     width, top, total = rows.agg(F.max(F.size("q")), F.max(F.aggregate("q", F.lit(0).cast("long"), lambda a, v: a + v * v)), F.count("*")).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
