@@ -50,3 +50,13 @@ def dense_offsets(rows: DataFrame, keys: tuple[str, ...], bucket: Column, *order
     begins = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     number = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
     return rows.withColumn("_number", number).join(begins, [*keys, "_bucket"]).withColumn("offset", (F.col("_base") + F.col("_number") - 1).cast("long")).drop("_bucket", "_number", "_base")
+
+
+#: So many rows of one log each are sent to every executor (some 50 MB).
+MAX_BROADCAST_LOGS = 500_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A narrow table with about one row for each log, to join records with: broadcast if it is counted to be small enough, else as it is, and Spark
+    shuffles (and splits skewed logs)."""
+    return F.broadcast(rows) if rows.limit(MAX_BROADCAST_LOGS + 1).count() <= MAX_BROADCAST_LOGS else rows

@@ -86,7 +86,7 @@ def producer_epochs(requests: DataFrame) -> DataFrame:
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("first").alias("low"))
     starts = sizes.select("_part", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     number = F.row_number().over(W.partitionBy("_part").orderBy("first")) - 1
-    rows = ranged.withColumn("_n", number).join(F.broadcast(starts), "_part")
+    rows = ranged.withColumn("_n", number).join(F.broadcast(starts), "_part")  # a row for each shuffle partition
     return rows.select("transactional_id", (F.lit(FIRST_PRODUCER_ID) + F.col("base") + F.col("_n")).cast("long").alias("producer_id"), F.col("epoch").cast("long").alias("epoch"))
 
 

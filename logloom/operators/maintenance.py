@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.model import LOG
+from logloom.model import LOG, small
 
 
 def compact(records: DataFrame, *, keep_keyless: bool = False, min_age_ms: int = 0, now_ms: int | None = None, tombstones_after_ms: int | None = None) -> DataFrame:
@@ -17,21 +17,22 @@ def compact(records: DataFrame, *, keep_keyless: bool = False, min_age_ms: int =
     alone. Records without a key go unless `keep_keyless`. Records younger than `min_age_ms` stay and don't hide older
     ones. Tombstones (empty values) stay, unless `tombstones_after_ms` says how old they may get.
 
-    The latest offset per key is found by partial aggregation, which a key with very many records doesn't make slower,
-    and records are then kept by a join with that.
+    The latest record of a key is found by partial aggregation: each task sends on one record for each of its keys, so neither repetitions
+    nor a key with very many records cost a shuffle.
     """
     active = records.groupBy(*LOG).agg(F.max("segment").alias("active"))
-    rows = records.join(F.broadcast(active), list(LOG))
+    rows = records.join(small(active), list(LOG))
     closed = F.col("segment") < F.col("active")
     young = F.lit(False) if now_ms is None or min_age_ms <= 0 else F.lit(now_ms) - F.col("timestamp") < min_age_ms
     keyed = F.coalesce(F.octet_length("key"), F.lit(0)) > 0
     exempt = ~closed | young | (~keyed & F.lit(keep_keyless))
-    newest = rows.where(~exempt & keyed).groupBy(*LOG, "key").agg(F.max("offset").alias("offset"))
-    kept = rows.where(~exempt & keyed).join(newest, [*LOG, "key", "offset"], "left_semi")
+    rest = [c for c in records.columns if c not in (*LOG, "key")]
+    newest = rows.where(~exempt & keyed).groupBy(*LOG, "key").agg(F.max_by(F.struct(*rest), "offset").alias("r"))
+    kept = newest.select(*LOG, "key", "r.*")
     if tombstones_after_ms is not None and now_ms is not None:
         old = (F.coalesce(F.octet_length("value"), F.lit(0)) == 0) & (F.lit(now_ms) - F.col("timestamp") > tombstones_after_ms)
         kept = kept.where(~old)
-    return rows.where(exempt).unionByName(kept).select(*records.columns)
+    return rows.where(exempt).select(*records.columns).unionByName(kept.select(*records.columns))
 
 
 def renumber(compacted: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def renumber(compacted: DataFrame) -> DataFrame:
         (F.min("low").over(active) + F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("base"),
     )
     number = F.row_number().over(W.partitionBy(*LOG, "segment").orderBy("offset")) - 1
-    rows = compacted.withColumn("_n", number).join(F.broadcast(begins), [*LOG, "segment"])
+    rows = compacted.withColumn("_n", number).join(begins, [*LOG, "segment"])
     return rows.withColumn("offset", F.when(F.col("is_active"), F.col("offset")).otherwise(F.col("base") + F.col("_n")).cast("long")).select(*compacted.columns)
 
 
@@ -66,11 +67,10 @@ def compaction_totals(records: DataFrame, compacted: DataFrame) -> DataFrame:
 
 def dirty_ratio(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     """topic, partition, segment, n, unique_keys, dirty, compactable, savings for closed segments."""
-    active = records.groupBy(*LOG).agg(F.max("segment").alias("active"))
     keyed = F.when(F.octet_length("key") > 0, F.col("key"))
     each = records.groupBy(*LOG, "segment").agg(F.count("*").alias("n"), F.countDistinct(keyed).alias("unique_keys"), F.sum("bytes").alias("bytes"))
     dirty = (F.col("n") - F.col("unique_keys")) / F.col("n")
-    closed = each.join(F.broadcast(active), list(LOG)).where("segment < active")
+    closed = each.withColumn("active", F.max("segment").over(W.partitionBy(*LOG))).where("segment < active")
     return closed.select(*LOG, "segment", "n", "unique_keys", F.round(dirty, 9).alias("dirty"), (dirty >= threshold).alias("compactable"), F.floor(F.col("bytes") * dirty).cast("long").alias("savings"))
 
 
@@ -103,7 +103,7 @@ def retain_by_age(listed: DataFrame, now_ms: int, max_age_ms: int) -> DataFrame:
 
 def truncate(records: DataFrame, to: DataFrame) -> DataFrame:
     """Records below the offset that `to` (topic, partition, end) gives; logs not named stay whole."""
-    return records.join(F.broadcast(to), list(LOG), "left").where("end is null or offset < end").select(*records.columns)
+    return records.join(small(to), list(LOG), "left").where("end is null or offset < end").select(*records.columns)
 
 
 def delete_before(requests: DataFrame, ends: DataFrame) -> DataFrame:
@@ -119,16 +119,29 @@ def oldest_age(records: DataFrame, now_ms: int) -> DataFrame:
     return records.groupBy(*LOG).agg((F.lit(now_ms) - F.min_by("timestamp", "offset")).cast("long").alias("age_ms"))
 
 
-def validate(records: DataFrame, order: str = "position") -> DataFrame:
+def validate(records: DataFrame, order: str = "position", stretch: int = 1_000_000) -> DataFrame:
     """topic, partition, total, valid, truncated, is_valid: records before the first one whose offset doesn't grow are valid.
 
-    The first fall is found by a comparison with the record before; logs are then counted by partial aggregation.
+    A log is compared in stretches of so many positions, each sorted on its own; a table with a row for each stretch then gives what happens at their
+    borders and how many records lie before. No task sorts a whole log.
     """
-    before = F.lag("offset").over(W.partitionBy(*LOG).orderBy(order))
-    marked = records.withColumn("_bad", F.col("offset") <= before)
-    first = marked.groupBy(*LOG).agg(F.min(F.when(F.col("_bad"), F.col(order))).alias("bad_at"), F.count("*").alias("total"))
-    counted = records.join(F.broadcast(first), list(LOG)).groupBy(*LOG, "total", "bad_at").agg(F.count_if(F.col("bad_at").isNull() | (F.col(order) < F.col("bad_at"))).alias("valid"))
-    return counted.select(*LOG, "total", "valid", (F.col("total") - F.col("valid")).alias("truncated"), F.col("bad_at").isNull().alias("is_valid"))
+    cut = F.floor(F.col(order) / F.lit(stretch)).alias("stretch")
+    rows = records.select(*LOG, "offset", F.col(order).alias("at"), cut)
+    inside = W.partitionBy(*LOG, "stretch").orderBy("at")
+    rows = rows.withColumns({"bad": F.col("offset") <= F.lag("offset").over(inside), "n": F.row_number().over(inside) - 1})
+    by = rows.groupBy(*LOG, "stretch").agg(
+        F.min(F.when(F.col("bad"), F.struct("at", F.col("n").cast("long").alias("n")))).alias("fall"),
+        F.min(F.struct("at", "offset")).alias("first"),
+        F.max(F.struct("at", "offset")).alias("last"),
+        F.count("*").alias("size"),
+    )
+    along = W.partitionBy(*LOG).orderBy("stretch")
+    border = F.when(F.col("first.offset") <= F.lag("last.offset").over(along), F.struct(F.col("first.at").alias("at"), F.lit(0).cast("long").alias("n")))
+    before = F.coalesce(F.sum("size").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    falls = by.withColumns({"fall": F.coalesce(border, "fall"), "before": before})
+    logs = falls.groupBy(*LOG).agg(F.sum("size").alias("total"), F.min(F.when(F.col("fall").isNotNull(), F.struct("fall.at", (F.col("before") + F.col("fall.n")).alias("valid")))).alias("f"))
+    valid = F.coalesce("f.valid", "total")
+    return logs.select(*LOG, "total", valid.alias("valid"), (F.col("total") - valid).alias("truncated"), F.col("f").isNull().alias("is_valid"))
 
 
 def recovery_summary(validated: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.model import LOG
+from logloom.model import LOG, small
 
 EARLIEST, LATEST = -2, -1
 
@@ -88,16 +88,11 @@ def offset_for_timestamp(records: DataFrame, wanted: DataFrame, marks: DataFrame
     A record's timestamp may be below an earlier one's. Records meet the wanted times of their log, which must be few
     for each log (it is a request), and are reduced at once: at most one row per log and wanted time leaves a task.
     """
-    found = records.join(F.broadcast(wanted) if _small(wanted) else wanted, list(LOG)).where("timestamp >= wanted_ms").groupBy(*LOG, "wanted_ms").agg(F.min("offset").alias("found"))
+    found = records.join(small(wanted), list(LOG)).where("timestamp >= wanted_ms").groupBy(*LOG, "wanted_ms").agg(F.min("offset").alias("found"))
     asked = wanted.join(marks, list(LOG)).join(found, [*LOG, "wanted_ms"], "left")
     return asked.select(*LOG, "wanted_ms", F.coalesce("found", "hwm").cast("long").alias("offset"))
 
 
-def _small(df: DataFrame, rows: int = 10_000) -> bool:
-    """Whether a table of narrow rows is surely small enough to send to every executor."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def asof_forward(left: DataFrame, records: DataFrame, slots_ms: int) -> DataFrame:
     """`left` (topic, partition, wanted_ms) with the offset of the first record at or after each wanted time, by offset.
 

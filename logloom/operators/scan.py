@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.model import LOG, RECORD_OVERHEAD
+from logloom.model import LOG, RECORD_OVERHEAD, small
 
 
 def of_log(records: DataFrame, topic: str, partition: int) -> DataFrame:
@@ -60,7 +60,7 @@ def poll(records: DataFrame, positions: DataFrame, max_records: int = 500, max_b
     Only the first `max_records` records of each log can be polled, so logs are cut to that before anything is ordered
     across them.
     """
-    own = records.join(F.broadcast(positions.select(*LOG, "position")), list(LOG)).where("offset >= position")
+    own = records.join(small(positions.select(*LOG, "position")), list(LOG)).where("offset >= position")
     turn = F.row_number().over(W.partitionBy(*LOG).orderBy("offset"))
     first = own.withColumn("_turn", turn).where(F.col("_turn") <= max_records)
     first = first.orderBy("_turn", *LOG).limit(max_records).withColumn("_all", F.lit(0))
@@ -75,7 +75,7 @@ def fetch(records: DataFrame, requests: DataFrame, marks: DataFrame) -> DataFram
     """For requests (topic, partition, fetch_offset): topic, partition, fetch_offset, hwm, log_start, n, bytes. Unknown logs are left out,
     a request at or past the end gets nothing."""
     asked = requests.join(marks, list(LOG))
-    found = records.join(F.broadcast(asked), list(LOG)).where("fetch_offset < hwm and offset >= fetch_offset")
+    found = records.join(small(asked), list(LOG)).where("fetch_offset < hwm and offset >= fetch_offset")
     got = found.groupBy(*LOG, "fetch_offset").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     return asked.join(got, [*LOG, "fetch_offset"], "left").select(
         *LOG, "fetch_offset", "hwm", F.lit(0).cast("long").alias("log_start"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes")

@@ -27,7 +27,7 @@ def _groups(spark):
 
 @query(with_views(RECORDS, HWM) + "SELECT * FROM hwm")
 def hwm(spark, d):
-    return V.marks(spark, d)
+    return O.high_water_marks(V.records(spark, d))
 
 
 @query(with_views(RECORDS) + 'SELECT topic, "partition", CAST(count(*) AS BIGINT) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM records GROUP BY ALL')

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.model import dense_offsets, epoch_ms, record_bytes
-from logloom.operators.offsets import high_water_marks
 from logloom.operators.replication import assign_replicas
 
 BROKERS = (1, 2, 3)
@@ -81,7 +80,9 @@ SEGMENTED = f'segmented AS (SELECT *, CAST("offset" // {SEGMENT_ROWS} AS BIGINT)
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return high_water_marks(records(spark, sf_dir))
+    """The next offsets of `records`. Its offsets have no gaps, so rows are counted and nothing is numbered or sorted."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition")).agg(F.count("*").alias("hwm"))
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:

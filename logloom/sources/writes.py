@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.model import LOG, dense_offsets
+from logloom.model import LOG, dense_offsets, small
 
 STORED = "offset long, timestamp long, key string, value string, batch_id long, topic string, partition int"
 
@@ -35,7 +35,7 @@ class LogTable:
         """Appends rows (topic, partition, key, value and an order) with the next offsets of their logs. Fits `foreachBatch`."""
         ends = self.read(before=batch_id).groupBy(*LOG).agg(F.max("offset").alias("last"))
         numbered = dense_offsets(rows, LOG, F.lit(0), order)
-        placed = numbered.join(F.broadcast(ends), list(LOG), "left").withColumn("offset", F.coalesce(F.col("last") + 1, F.lit(0)) + F.col("offset"))
+        placed = numbered.join(small(ends), list(LOG), "left").withColumn("offset", F.coalesce(F.col("last") + 1, F.lit(0)) + F.col("offset"))
         out = placed.select("offset", F.lit(now_ms).cast("long").alias("timestamp"), "key", "value", F.lit(batch_id).cast("long").alias("batch_id"), *LOG)
         out.write.mode("overwrite").partitionBy(*LOG).parquet(f"{self.path}/batch={batch_id}")
 
