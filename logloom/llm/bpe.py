@@ -25,7 +25,7 @@ from logloom.llm.common import with_id_column
 LEAF = 16
 NEVER = 1 << 62
 #: How many distinct pieces a worker remembers; it then forgets all of them.
-REMEMBER = 400_000
+REMEMBER = 250_000
 
 
 class _Pieces(dict):

@@ -33,6 +33,13 @@ def with_id_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def slices(batches, rows: int = 1024):
+    """pandas batches cut into smaller ones, for work that makes much out of a row."""
+    for pdf in batches:
+        for i in range(0, len(pdf), rows):
+            yield pdf.iloc[i : i + rows]
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # Vectorised hashing of words over UTF-8 bytes. A chunk of texts is one byte array; sums over prefixes of
 # byte_code * BASE**position give the hash of every word at once, without a Python loop over words.

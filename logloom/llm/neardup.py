@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import U64, chunks, durable, mix64, with_id_column, word_hashes
+from logloom.llm.common import U64, chunks, durable, mix64, slices, with_id_column, word_hashes
 
 WORDS = 5
 _rng = np.random.default_rng(77)
@@ -134,7 +134,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
     """doc_id, n, two fingerprints of the set, and the registers of those that can be like another set."""
 
     def work(batches):
-        for pdf in batches:
+        for pdf in slices(batches):
             rows = []
             for own in shingle_sets(pdf["text"]):
                 one = int(_signed(own.sum(dtype=U64, keepdims=True))[0])
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
     classes = durable(known.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"), F.any_value("regs").alias("regs")))
 
     def bands(batches):
-        for pdf in batches:
+        for pdf in slices(batches):
             if len(pdf):
                 regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), p.registers)
                 yield pd.DataFrame({"band": _signed(np.concatenate([band_hashes(r, p) for r in regs])), "rep": np.repeat(pdf["rep"].to_numpy(), p.bands)})
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
     dealt = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / p.block_rows, F.sum("n") / p.block_shingles)).cast("int").alias("blocks"))
 
     def full_sets(batches):
-        for pdf in batches:
+        for pdf in slices(batches):
             if len(pdf):
                 yield pdf.assign(hashes=[s.tobytes() for s in shingle_sets(pdf["text"])]).drop(columns="text")
 
