@@ -12,7 +12,12 @@ from logloom.plans.views import RECORDS, with_views
 SAME = with_views(RECORDS) + 'SELECT topic, "partition", "offset", value, true AS same FROM records'
 
 
-@query()
+@query(
+    with_views(RECORDS)
+    + """, b AS (SELECT topic, "partition", "offset", [CAST(ascii(c) AS BIGINT) FOR c IN string_split("offset" || "timestamp" || key || value, '')] AS bytes FROM records)
+    SELECT topic, "partition", "offset", xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, b:
+        list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda k, z: xor(k >> 1, 3988292384 * (k & 1))))) AS crc FROM b"""
+)
 def crc32_records(spark, d):
     return V.records(spark, d).select("topic", "partition", "offset", K.record_crc(F.col("offset"), F.col("timestamp"), F.col("key"), F.col("value")).alias("crc"))
 

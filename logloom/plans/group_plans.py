@@ -55,7 +55,22 @@ def dead_members(spark, d):
     return G.expire_members(_groups(spark).withColumn("generation", F.lit(5)), _members(spark, d), 6500)
 
 
-@query()
+ACTIONS = """actions AS (SELECT 'g' || user_id AS group_id, CASE event_id % 5 WHEN 1 THEN 'sync' WHEN 2 THEN 'heartbeat' WHEN 3 THEN 'leave' ELSE 'join' END AS action, 'm' || (event_id % 3) AS member_id,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)"""
+
+
+@query(
+    with_views(ACTIONS).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, fold AS (
+        SELECT DISTINCT group_id, CAST(0 AS BIGINT) AS n, 'Empty' AS state, 0 AS generation, CAST([] AS VARCHAR[]) AS members FROM actions
+        UNION ALL
+        SELECT f.group_id, a.n,
+            CASE WHEN action = 'join' THEN 'PreparingRebalance' WHEN action = 'sync' AND state = 'PreparingRebalance' AND here THEN 'Stable' WHEN action = 'leave' AND here AND len(members) = 1 THEN 'Empty' WHEN action = 'leave' AND here THEN 'PreparingRebalance' ELSE state END,
+            CASE WHEN action = 'join' OR (action = 'leave' AND here) THEN generation + 1 ELSE generation END,
+            CASE WHEN action = 'join' AND NOT here THEN list_append(members, member_id) WHEN action = 'leave' THEN list_filter(members, lambda x: x <> member_id) ELSE members END
+        FROM fold f JOIN actions a ON a.group_id = f.group_id AND a.n = f.n + 1, LATERAL (SELECT list_contains(members, member_id) AS here))
+    SELECT group_id, arg_max(state, n) AS state, CAST(arg_max(generation, n) AS INTEGER) AS generation, CAST(arg_max(len(members), n) AS BIGINT) AS members FROM fold GROUP BY group_id"""
+)
 def group_state(spark, d):
     e = V.table(spark, d, "events")
     action = F.element_at(F.array(*(F.lit(a) for a in ("join", "sync", "heartbeat", "leave", "join"))), (F.col("event_id") % 5 + 1).cast("int"))
