@@ -5,6 +5,7 @@ from __future__ import annotations
 from logloom.plans import (  # noqa: F401  each registers its queries
     access_plans,
     audit_plans,
+    cluster_plans,
     codec_plans,
     group_plans,
     maintenance_plans,
