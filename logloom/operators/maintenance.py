@@ -10,29 +10,33 @@ from pyspark.sql import functions as F
 from logloom.model import LOG, small
 
 
-def compact(records: DataFrame, *, keep_keyless: bool = False, min_age_ms: int = 0, now_ms: int | None = None, tombstones_after_ms: int | None = None) -> DataFrame:
+def compact(
+    records: DataFrame, *, active: DataFrame | None = None, keep_keyless: bool = False, min_age_ms: int = 0, now_ms: int | None = None, tombstones_after_ms: int | None = None
+) -> DataFrame:
     """The latest record of each key among closed segments, and the active segment as it is. Offsets stay.
 
     `records` has a column `segment`; the highest of a log is active and takes no part, so a log of one segment is left
-    alone. Records without a key go unless `keep_keyless`. Records younger than `min_age_ms` stay and don't hide older
+    alone. `active` (topic, partition, active) saves a pass over the records where a listing of segments has it. Records without a key go unless `keep_keyless`. Records younger than `min_age_ms` stay and don't hide older
     ones. Tombstones (empty values) stay, unless `tombstones_after_ms` says how old they may get.
 
-    The latest record of a key is found by partial aggregation: each task sends on one record for each of its keys, so neither repetitions
-    nor a key with very many records cost a shuffle.
+    One pass and one aggregation: each task sends on one record for each of its keys, so neither repetitions nor a key with very many records
+    cost a shuffle. Records that stay in any case are groups of their own.
     """
-    active = records.groupBy(*LOG).agg(F.max("segment").alias("active"))
+    if active is None:
+        active = records.groupBy(*LOG).agg(F.max("segment").alias("active"))
     rows = records.join(small(active), list(LOG))
     closed = F.col("segment") < F.col("active")
     young = F.lit(False) if now_ms is None or min_age_ms <= 0 else F.lit(now_ms) - F.col("timestamp") < min_age_ms
     keyed = F.coalesce(F.octet_length("key"), F.lit(0)) > 0
     exempt = ~closed | young | (~keyed & F.lit(keep_keyless))
-    rest = [c for c in records.columns if c not in (*LOG, "key")]
-    newest = rows.where(~exempt & keyed).groupBy(*LOG, "key").agg(F.max_by(F.struct(*rest), "offset").alias("r"))
-    kept = newest.select(*LOG, "key", "r.*")
     if tombstones_after_ms is not None and now_ms is not None:
         old = (F.coalesce(F.octet_length("value"), F.lit(0)) == 0) & (F.lit(now_ms) - F.col("timestamp") > tombstones_after_ms)
-        kept = kept.where(~old)
-    return rows.where(exempt).select(*records.columns).unionByName(kept.select(*records.columns))
+    else:
+        old = F.lit(False)
+    rest = [c for c in records.columns if c not in (*LOG, "key")]
+    marked = rows.withColumns({"_own": F.when(exempt, F.col("offset")), "_old": old & ~exempt}).where(F.col("_own").isNotNull() | keyed)
+    newest = marked.groupBy(*LOG, "key", "_own").agg(F.max_by(F.struct(*rest, "_old"), "offset").alias("r"))
+    return newest.where(~F.col("r._old")).select(*LOG, "key", "r.*").select(*records.columns)
 
 
 def renumber(compacted: DataFrame) -> DataFrame:

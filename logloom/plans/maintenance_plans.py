@@ -22,9 +22,14 @@ def _segmented(spark, d):
     return V.segmented(V.records(spark, d))
 
 
+def _compacted(spark, d):
+    active = V.marks(spark, d).select("topic", "partition", F.expr(f"(hwm - 1) div {V.SEGMENT_ROWS}").alias("active"))
+    return M.compact(_segmented(spark, d), active=active)
+
+
 @query(with_views(RECORDS, SEGMENTED, ACTIVE, COMPACTED) + f"SELECT {COLUMNS} FROM compacted")
 def compact_latest(spark, d):
-    return M.compact(_segmented(spark, d))
+    return _compacted(spark, d)
 
 
 @query(
@@ -34,7 +39,7 @@ def compact_latest(spark, d):
         "timestamp", key, value, bytes, segment FROM compacted"""
 )
 def compact_renumber_compat(spark, d):
-    return M.renumber(M.compact(_segmented(spark, d)))
+    return M.renumber(_compacted(spark, d))
 
 
 @query(
@@ -43,8 +48,7 @@ def compact_renumber_compat(spark, d):
     CAST((SELECT sum(bytes) FROM records) - sum(bytes) AS BIGINT) AS bytes_removed FROM compacted"""
 )
 def compaction_totals(spark, d):
-    rows = _segmented(spark, d)
-    return M.compaction_totals(rows, M.compact(rows))
+    return M.compaction_totals(_segmented(spark, d), _compacted(spark, d))
 
 
 DIRTY = """dirty AS (SELECT topic, "partition", segment, n, unique_keys, round((n - unique_keys) / n, 9) AS dirty, (n - unique_keys) / n >= 0.5 AS compactable, CAST(floor(bytes * ((n - unique_keys) / n)) AS BIGINT) AS savings
