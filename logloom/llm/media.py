@@ -19,8 +19,9 @@ from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from logloom.llm.common import with_id_column
+from logloom.llm.common import slices, with_id_column
 
 # Fixed values of the MPEG audio frame header (ISO/IEC 11172-3 and 13818-3): kbit/s by index 1 to 14, Hz by index 0 to 2.
 BITRATES = {
@@ -265,11 +266,9 @@ def to_media(docs: DataFrame) -> DataFrame:
     doc_id may be null or repeat; other columns are ignored."""
 
     def work(batches):
-        for pdf in batches:
+        for pdf in slices(batches, 512):
             texts = [t.encode("utf-8") if isinstance(t, str) else b"" for t in pdf["text"]]
-            for i in range(0, len(texts), 512):
-                part = texts[i : i + 512]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].array[i : i + 512], "n_bytes": [len(t) for t in part], "media": [write(padded(t)) for t in part]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n_bytes": [len(t) for t in texts], "media": [write(padded(t)) for t in texts]})
 
     return with_id_column(docs).mapInPandas(work, "doc_id long, n_bytes long, media binary")
 
@@ -280,7 +279,7 @@ def read_media(media: DataFrame, column: str = "media") -> DataFrame:
     others = [f for f in media.schema.fields if f.name != column]
 
     def work(batches):
-        for pdf in batches:
+        for pdf in slices(batches, 512):
             rows = []
             for data in pdf[column]:
                 data = data or b""
@@ -298,7 +297,7 @@ def read_media(media: DataFrame, column: str = "media") -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, samples, duration_us,
     n_frames: one row for each row of `docs`, from the payload as read back."""
-    from pyspark.sql import functions as F
+
 
     read = read_media(to_media(docs))
     return read.select(
