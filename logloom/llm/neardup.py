@@ -152,15 +152,30 @@ def may_link(n: int, p: Params) -> bool:
     return 100 * n >= p.percent * (n + 1)
 
 
+SALTS = 64
+
+
+def _crowded(pairs: DataFrame) -> list[int]:
+    """Nodes with more than a hundredth of all edges (and a thousand): fewer than two hundred, whatever the input."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("u")).groupBy("u").count()
+    return [r["u"] for r in ends.where(F.col("count") > max(1000, pairs.count() // 100)).collect()]
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node that each node of the edges (a, b) reaches. Alternating large and small stars."""
+    """node, root: the smallest node that each node of the edges (a, b) reaches. Alternating large and small stars.
+
+    The neighbours of a crowded node (a hub of copies) are dealt over many tasks by a salt.
+    """
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, crowded: list[int]) -> DataFrame:
         both = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         if large:
             both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(low, "u")
+        is_crowded = F.col("u").isin(*crowded) if crowded else F.lit(False)
+        salted = both.withColumn("salt", F.when(is_crowded, F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0))
+        every = F.when(is_crowded, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        joined = salted.join(low.withColumn("salt", F.explode(every)), ["u", "salt"])
         if large:
             moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -173,7 +188,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         chained = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
         if twice.unionByName(chained).isEmpty():  # every node hangs on one root, and no root hangs on another
             break
-        now = durable(star(star(now, True), False))
+        crowded = _crowded(now)
+        now = durable(star(star(now, True, crowded), False, crowded))
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -197,6 +197,14 @@ def test_components_of_a_long_chain(spark):
     assert found == {i: 0 for i in range(61)} | {90: 90, 95: 90, 100: 90}
 
 
+def test_components_of_a_crowded_hub(spark):
+    pairs = [(5000, i) for i in range(1, 3000)] + [(i, i + 6000) for i in range(1, 3000, 7)] + [(0, 2999)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    assert neardup._crowded(edges) == [5000]
+    found = {r["node"]: r["root"] for r in neardup.components(edges).collect()}
+    assert set(found.values()) == {0} and len(found) == 2 + 2999 + len(range(1, 3000, 7))
+
+
 # --- 4
 
 
