@@ -85,7 +85,7 @@ def cost_analysis(spark, d):
 
 @query(
     with_views(SEGMENTS, STATS)
-    + """, c AS (SELECT total_bytes / 1073741824.0 * 0.023 AS hot_cost, archived * 0.1 * 0.004 AS cold_cost FROM stats) SELECT round(hot_cost, 9) AS hot_cost, round(cold_cost, 9) AS cold_cost, round(cold_cost / (hot_cost + cold_cost) * 100, 9) AS savings_percent FROM c"""
+    + """, c AS (SELECT total_bytes / 1073741824.0 * 0.023 AS hot_cost, archived * CAST(0.1 AS DOUBLE) * CAST(0.004 AS DOUBLE) AS cold_cost FROM stats) SELECT round(hot_cost, 9) AS hot_cost, round(cold_cost, 9) AS cold_cost, round(cold_cost / (hot_cost + cold_cost) * 100, 9) AS savings_percent FROM c"""
 )
 def cost_analysis_compat(spark, d):
     found = T.costs_compat(T.stats(_segments(spark, d)))
