@@ -1,10 +1,11 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams (tokens and neighbouring pairs): one of the target text, the documents labelled
-good, and one of the raw text, all documents. A document's weight is the log ratio of its probabilities under the two,
-normalised to a reference length so that long documents don't win by length. Gumbel top-k turns weights into a sample
-without replacement: the k largest of weight plus Gumbel noise. k is the number of documents whose weight lies on the good
-side of a cut calibrated on the labelled ones; what the sample leaves out is rejected.
+good, and one of the raw text, all documents. A document's weight is the log ratio of its probabilities under the two.
+Documents longer than a reference length are scaled down to it, so that they don't win by length; short ones keep the
+little evidence that they are. Gumbel top-k turns weights into a sample without replacement: the k largest of weight plus
+Gumbel noise. k is the number of documents whose weight lies on the good side of a cut calibrated on the labelled ones;
+what the sample leaves out is rejected.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def _few(part: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def weigh(ids, texts, ratios: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-grams, log weight at the reference length, and weight plus Gumbel noise of some documents. Without n-grams the
+    """n-grams, log weight (at the reference length if longer), and weight plus Gumbel noise of some documents. Without n-grams the
     weight is minus infinity."""
     sizes, weights = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf)
     for i, encoded in chunks(texts, 1 << 18):
@@ -121,21 +122,21 @@ def weigh(ids, texts, ratios: np.ndarray, p: Params) -> tuple[np.ndarray, np.nda
         some = n > 0
         at = np.arange(i, i + len(encoded))
         sizes[at] = n
-        weights[at[some]] = total[some] / float(_ONE) / n[some] * p.length
+        weights[at[some]] = total[some] / float(_ONE) * np.minimum(1.0, p.length / n[some])
     code = pd.Series(ids).fillna(-1).to_numpy().astype(np.int64).view(U64)
     uniform = ((mix64(code ^ U64(p.seed * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> U64(11)).astype(np.float64) + 0.5) / 2.0**53
     return sizes, weights, weights - np.log(-np.log(uniform))
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut with the greatest sum of the shares of good weights above and bad ones below: the middle of the best gap.
-    Without either kind nothing is cut."""
+    """The cut with the fewest labelled documents on the wrong side: the middle of the best gap. Good ones are the larger part
+    of a corpus worth filtering, so this leans towards keeping them. Without either kind nothing is cut."""
     good, bad = good[np.isfinite(good)], bad[np.isfinite(bad)]
     if not len(good) or not len(bad):
         return -np.inf
     values = np.unique(np.concatenate((good, bad)))
     cuts = np.concatenate((values[:1] - 1, (values[1:] + values[:-1]) / 2))
-    won = 1 - np.searchsorted(np.sort(good), cuts) / len(good) + np.searchsorted(np.sort(bad), cuts) / len(bad)
+    won = len(good) - np.searchsorted(np.sort(good), cuts) + np.searchsorted(np.sort(bad), cuts)
     return float(cuts[np.argmax(won)])
 
 
