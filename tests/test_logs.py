@@ -229,3 +229,20 @@ def test_session_timeouts_stream(spark, tmp_path):
     query.awaitTermination()
     found = {(r["member_id"], r["state"]) for r in spark.table("beats").collect()}
     assert ("a", "expired") in found and ("b", "alive") in found
+
+
+def test_windows_and_dedup_on_a_stream(spark, tmp_path):
+    from logloom.streaming.windows import first_only, sessions, windowed
+
+    rows = [("a", "2024-01-01 00:01:00", 1), ("a", "2024-01-01 00:02:00", 2), ("a", "2024-01-01 00:02:00", 2), ("b", "2024-01-01 00:31:00", 5), ("b", "2024-01-02 00:00:00", 7)]
+    spark.createDataFrame(rows, "k string, t string, value int").select("k", F.col("t").cast("timestamp").alias("ts"), "value").coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run(name, build):
+        stream = spark.readStream.schema("k string, ts timestamp, value int").parquet(str(tmp_path / "in"))
+        query = build(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+        query.awaitTermination()
+        return spark.table(name).collect()
+
+    assert {(r["k"], r["n"], r["total"]) for r in run("tumbled", lambda s: windowed(s, ["k"], "10 minutes", delay="5 minutes"))} == {("a", 3, 5), ("b", 1, 5)}
+    assert {(r["k"], r["n"]) for r in run("sessioned", lambda s: sessions(s, ["k"], "10 minutes", delay="5 minutes"))} == {("a", 3), ("b", 1)}
+    assert len(run("deduped", lambda s: first_only(s, ["k", "ts", "value"]))) == 4
