@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    return neardup.deduplicate(docs)
+    """One document of each group of near duplicates (similarity of 0.8 or more) stays: the one with the smallest doc_id."""
+    return neardup.deduplicate(docs, neardup.TRAINING)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

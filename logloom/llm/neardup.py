@@ -51,6 +51,10 @@ class Params:
         return self.bands * self.rows
 
 
+#: Near copies in training data: a similarity of 0.8 or more.
+TRAINING = Params(percent=80, bands=46, rows=6)
+
+
 def shingle_sets(texts) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; empty without words, one of the whole sequence below five words."""
     out: list[np.ndarray] = []

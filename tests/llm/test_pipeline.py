@@ -49,6 +49,18 @@ def test_pipeline_by_stages(spark, tiny):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_near_duplicate_stage_at_its_threshold(spark, tiny):
+    texts = {}
+    for n in (44, 45, 46, 50, 57, 61, 70):  # shingles; one word in the middle changed leaves (n - 5) / (n + 5)
+        words = [f"w{n}x{i}" for i in range(n + 4)]
+        texts[len(texts)] = " ".join(words)
+        texts[len(texts)] = " ".join(["changed" if i == 20 else w for i, w in enumerate(words)])
+    want = sorted(i for i, (_, c) in brute_components(texts, 80).items() if i == c)
+    assert want == [0, 1, 2, 4, 6, 8, 10, 12]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in texts.items()], DOCS)
+    assert ids(corpus_pipeline.near_duplicate_stage(spark, docs, tiny)) == want
+
+
 def test_stages_meet_odd_rows(spark, tiny):
     docs = docs_of(spark, [prose(i, 40) for i in range(6)] + ["token = abcdefghij " + prose(9, 30)])
     for _, stage in corpus_pipeline.STAGES:
