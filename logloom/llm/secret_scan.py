@@ -27,10 +27,12 @@ BASE_KINDS = KINDS[:3]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s,:-]*?)-----END \1-----")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{10,})(?![A-Za-z0-9_-])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
-LONG_HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{2}){32,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[0-9A-F]{2}){32,}(?![A-Za-z0-9])")
+#: Line ends as strings of JSON and env files write them: a backslash (or more) and a letter.
+ESCAPED_END = re.compile(r"\\+[nr]")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s,:-]|\\+[nr])*?)-----END \1-----")
+SIGNED = re.compile(r"(?:(?<![A-Za-z0-9_.-])(?!(?<=\\)[nr])|(?<=\\[nr]))([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{10,})(?![A-Za-z0-9_-])")
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nr])|(?<=\\[nr]))[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
+LONG_HEX = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nr])|(?<=0[xX]))(?:[0-9A-Fa-f]{2}){32,}(?![A-Za-z0-9])")
 
 _RUN = np.zeros(256, bool)
 _RUN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_.=-"]] = True
@@ -136,7 +138,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     found = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            body = decode_base64(re.sub(r"\s+", "", re.sub(r"^[\w-]+:.*$", "", m[2], flags=re.MULTILINE)))
+            lines = ESCAPED_END.sub("\n", m[2])
+            body = decode_base64(re.sub(r"\s+", "", re.sub(r"^[\w-]+:.*$", "", lines, flags=re.MULTILINE)))
             if body and ("ENCRYPTED" in m[1] or "Proc-Type" in m[2] or is_der_key(body) or is_ssh_key(body)):
                 found.append((m.start(), 3, m.end()))
     inside = [(a, b) for a, _, b in found]
