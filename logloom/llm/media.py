@@ -178,7 +178,7 @@ class Parsed:
 
 
 def _read_tags(data: bytes, out: Parsed) -> tuple[int, int]:
-    """Where frames begin and end between the tags at both ends."""
+    """Where frames begin and end between the tags at both ends. A tag at the end counts until `parse` finds a whole frame over its start."""
     start, end = 0, len(data)
     while data[start : start + 3] == b"ID3" and start + 10 <= end:
         size = _unsafe(data[start + 6 : start + 10])
@@ -207,7 +207,10 @@ def parse(data: bytes) -> Parsed:
         h = header(data[i : i + 4])
         if h is not None and not synced and i + h.size < end:  # a header after a gap counts only if another follows it
             after = header(data[i + h.size : i + h.size + 4])
-            h = h if after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate) else None
+            h = h if _alike(after, h) else None
+        if h is not None and i < end < i + h.size and _whole(data, i, h):  # what looked like a tag lies in this frame
+            end = len(data)
+            del out.tags["ID3v1"]
         if h is None or i + h.size > end:
             synced = False
             nxt = data.find(b"\xff", i + 1, end)
@@ -234,6 +237,16 @@ def parse(data: bytes) -> Parsed:
     return out
 
 
+def _alike(a: Header | None, b: Header) -> bool:
+    return a is not None and (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
+
+
+def _whole(data: bytes, i: int, h: Header) -> bool:
+    """Whether a frame at i ends with the data or before another frame. One cut short by a tag does neither."""
+    stop = i + h.size
+    return stop == len(data) or _alike(header(data[stop : stop + 4]), h)
+
+
 def _read_table(data: bytes, i: int, at: int, h: Header, out: Parsed) -> bool:
     if data[at : at + 4] in (b"Xing", b"Info"):
         flags, at2 = struct.unpack(">I", data[at + 4 : at + 8])[0], at + 8

@@ -417,6 +417,24 @@ def test_media_of_other_writers():
     assert media.header(b"\xff\xe3\x18\xc4").samples == 576  # MPEG-2.5 layer III
 
 
+def test_media_with_a_tag_in_the_text(spark):
+    for n in (64, 128, 192, 960, 3008):
+        size = len(media.write(bytes(n)))
+        spots = [k for k in range(n - 2) if media.write(bytes(k) + b"TAG" + bytes(n - 3 - k))[size - 128 : size - 125] == b"TAG"]
+        for k in spots:
+            payload = b"a" * k + b"TAG" + b"b" * (n - 3 - k)
+            stream = media.write(payload)
+            found = media.parse(stream)
+            assert found.payload(stream) == payload and "ID3v1" not in found.tags and found.skipped == 0
+            tagged = media.parse(stream + b"TAG" + bytes(125))
+            assert "ID3v1" in tagged.tags and tagged.offsets == found.offsets and tagged.skipped == 0
+            cut = media.parse(stream[:-20] + b"TAG" + bytes(125))
+            assert "ID3v1" in cut.tags and len(cut.offsets) == len(found.offsets) - 1
+        assert spots or n != 192
+    docs = spark.createDataFrame([(1, "a" * 89 + "TAG" + "b" * 100)], "doc_id long, text string")
+    assert media.digests(docs).first()["payload_sha256"] == hashlib.sha256(b"a" * 89 + b"TAG" + b"b" * 100).hexdigest()
+
+
 def test_media_query(spark):
     docs = docs_of(spark, ["Hello", "é" * 64, "x" * 64, "Hello"])
     rows = media.digests(docs).collect()
