@@ -26,13 +26,13 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Params:
-    """`max_types`: a language's model keeps the four-character keys that occur often enough for at most so many to remain
-    (all of them if they fit); every key below that is scored by the lower orders. `max_languages`: more is an error.
+    """`broadcast_cells`: distinct keys times languages of a model that tasks hold in memory; a larger one stays in tables and is
+    joined with the keys of the texts. Both have every key and give the same scores. `max_languages`: more is an error.
     `calibration`: confidence and rejection are set on about so many training documents, dealt by hash.
     `strictness`: a best cross-entropy so many deviations above its language's mean is rejected.
     """
 
-    max_types: int = 200_000
+    broadcast_cells: int = 6_000_000
     max_languages: int = 250
     calibration: int = 4_000
     strictness: float = 6.0
@@ -171,13 +171,41 @@ def kneser_ney(key: np.ndarray, n: np.ndarray):
     return levels
 
 
-class Model:
+class Judge:
+    """What decides on cross-entropies: the languages and the calibration."""
+
+    def __init__(self, languages) -> None:
+        self.languages = sorted(languages)
+        self.sharpness, self.mean, self.deviation = 50.0, np.zeros(len(self.languages)), np.full(len(self.languages), np.inf)
+
+    def calibrate(self, size: np.ndarray, entropy: np.ndarray, truth: np.ndarray) -> None:
+        """Sets how sharply confidence follows the entropies (least log loss), and what is usual for each language."""
+        if not len(size):
+            return
+        losses = []
+        grid = (5.0, 10.0, 20.0, 50.0, 100.0, 200.0)
+        for s in grid:
+            p = self.confidence(size, entropy, s)
+            losses.append(-np.log(np.maximum(p[np.arange(len(p)), truth], 1e-9)).mean())
+        self.sharpness = grid[int(np.argmin(losses))]
+        for j in range(len(self.languages)):
+            own = entropy[(truth == j) & (size >= 20), j]
+            if len(own) >= 5:
+                self.mean[j], self.deviation[j] = own.mean(), max(own.std(), 0.05)
+
+    def confidence(self, size: np.ndarray, entropy: np.ndarray, sharpness: float | None = None) -> np.ndarray:
+        scale = np.minimum(size, self.sharpness if sharpness is None else sharpness)[:, None]
+        z = -(entropy - entropy.min(axis=1, keepdims=True)) * scale
+        p = np.exp(z)
+        return p / p.sum(axis=1, keepdims=True)
+
+
+class Model(Judge):
     """All languages' models over common hash arrays, and the calibration."""
 
     def __init__(self, languages: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.languages = sorted(languages)
+        super().__init__(languages)
         own = [kneser_ney(*languages[x]) for x in self.languages]
-        self.sharpness, self.mean, self.deviation = 50.0, np.zeros(len(own)), np.full(len(own), np.inf)
         self.levels: list[tuple[HashArray, np.ndarray, HashArray, np.ndarray]] = []
         for k in range(ORDER if own else 0):
             context = np.unique(np.concatenate([m[k][2] for m in own]))
@@ -223,63 +251,118 @@ class Model:
                 out[first + some] = -np.add.reduceat(self._log(key, ORDER - 1), starts, axis=0, dtype=np.float64) / sizes[some, None]
         return size, out
 
-    def calibrate(self, size: np.ndarray, entropy: np.ndarray, truth: np.ndarray) -> None:
-        """Sets how sharply confidence follows the entropies (least log loss), and what is usual for each language."""
-        if not len(size):
-            return
-        losses = []
-        grid = (5.0, 10.0, 20.0, 50.0, 100.0, 200.0)
-        for s in grid:
-            p = self.confidence(size, entropy, s)
-            losses.append(-np.log(np.maximum(p[np.arange(len(p)), truth], 1e-9)).mean())
-        self.sharpness = grid[int(np.argmin(losses))]
-        for j in range(len(self.languages)):
-            own = entropy[(truth == j) & (size >= 20), j]
-            if len(own) >= 5:
-                self.mean[j], self.deviation[j] = own.mean(), max(own.std(), 0.05)
-
-    def confidence(self, size: np.ndarray, entropy: np.ndarray, sharpness: float | None = None) -> np.ndarray:
-        scale = np.minimum(size, self.sharpness if sharpness is None else sharpness)[:, None]
-        z = -(entropy - entropy.min(axis=1, keepdims=True)) * scale
-        p = np.exp(z)
-        return p / p.sum(axis=1, keepdims=True)
-
-
-def train(docs: DataFrame, p: Params | None = None) -> Model:
+    def scored(self, rows: DataFrame, column: str) -> DataFrame:
+        """`column`, size, entropy: the keys of each row's text and its cross-entropy by language."""
+
+        def work(batches):
+            for pdf in batches:
+                size, entropy = self.entropies(pdf["text"])
+                yield pd.DataFrame({column: pdf[column].array, "size": size, "entropy": list(entropy)})
+
+        return rows.select(column, "text").mapInPandas(work, f"{column} {rows.schema[column].dataType.simpleString()}, size long, entropy array<double>")
+
+
+class JoinedModel(Judge):
+    """`Model` in tables, for any number of keys: for each order the keys with the languages' log probabilities (null where a
+    language has not seen the key), and the contexts with the logs of what they leave."""
+
+    def __init__(self, languages, counts: DataFrame) -> None:
+        super().__init__(languages)
+        self.levels: list[tuple[DataFrame, DataFrame]] = []
+        grams = [counts.select("lang", "gram", "n")]
+        for k in range(ORDER - 1, 0, -1):
+            low = F.col("gram").bitwiseAND(F.lit((1 << 12 * k) - 1))
+            grams.insert(0, durable(grams[0].groupBy("lang", low.alias("gram")).agg(F.count("*").alias("n"))))  # distinct left neighbours
+        lower = None
+        for k, own in enumerate(grams, 1):
+            few = own.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+            discount = F.when((F.col("once") > 0) & (F.col("twice") > 0), F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(0.5)
+            few = F.broadcast(few.select("lang", discount.alias("discount")))  # a row for each language
+            own = own.withColumn("context", F.shiftright("gram", 12))
+            contexts = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(few, "lang")
+            contexts = contexts.withColumn("left", F.col("discount") * F.col("kinds") / F.col("total"))
+            rows = own.join(contexts, ["lang", "context"])
+            if k == 1:
+                rows = rows.withColumn("below", F.lit(1 / _VOCABULARY))
+            else:
+                low = F.col("gram").bitwiseAND(F.lit((1 << 12 * (k - 1)) - 1))
+                rows = rows.withColumn("low", low).join(lower.select("lang", F.col("gram").alias("low"), F.col("p").alias("below")), ["lang", "low"])
+            lower = durable(rows.select("lang", "gram", ((F.col("n") - F.col("discount")) / F.col("total") + F.col("left") * F.col("below")).alias("p")))
+            seen = lower.groupBy("gram").agg(self._by_language(F.log("p")).alias("seen"))
+            rest = contexts.groupBy("context").agg(self._by_language(F.log("left")).alias("left"))
+            self.levels.append((durable(seen), durable(rest)))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "levels"}
+
+    def _by_language(self, value):
+        return F.array(*(F.max(F.when(F.col("lang") == x, value)) for x in self.languages))
+
+    def _log(self, keys: DataFrame, k: int) -> DataFrame:
+        """gram, log: the log probabilities of distinct keys of order k + 1, by language."""
+        seen, rest = self.levels[k]
+        keys = keys.withColumn("context", F.shiftright("gram", 12))
+        if k:
+            low = F.col("gram").bitwiseAND(F.lit((1 << 12 * k) - 1))
+            keys = keys.withColumn("low", low)
+            below = self._log(keys.select(F.col("low").alias("gram")).distinct(), k - 1)
+            keys = keys.join(below.select(F.col("gram").alias("low"), F.col("log").alias("below")), "low")
+        else:
+            keys = keys.withColumn("below", F.array(*(F.lit(-float(np.log(_VOCABULARY))) for _ in self.languages)))
+        joined = keys.join(seen, "gram", "left").join(rest, "context", "left")
+        log = F.array(*(F.coalesce(F.col("seen")[j], F.coalesce(F.col("left")[j], F.lit(0.0)) + F.col("below")[j]) for j in range(len(self.languages))))
+        return durable(joined.select("gram", log.alias("log")))
+
+    def scored(self, rows: DataFrame, column: str) -> DataFrame:
+        """As that of `Model`: the distinct keys of each text meet their log probabilities by joins, and sums go back to the rows."""
+
+        def work(batches):
+            for pdf in batches:
+                for first, key, sizes in keys(pdf["text"]):
+                    stops = np.cumsum(sizes)
+                    found = [np.unique(key[b - n : b].view(np.int64), return_counts=True) for n, b in zip(sizes, stops, strict=True)]
+                    own = pdf.iloc[first : first + len(sizes)]
+                    yield pd.DataFrame({"row": own["row"].array, column: own[column].array, "size": sizes, "gram": [g for g, _ in found], "n": [n for _, n in found]})
+
+        kind = rows.schema[column].dataType.simpleString()
+        numbered = rows.select(column, "text", F.monotonically_increasing_id().alias("row"))
+        held = durable(numbered.mapInPandas(work, f"row long, {column} {kind}, size long, gram array<long>, n array<long>"))
+        each = held.select("row", "size", F.explode(F.arrays_zip("gram", "n")).alias("e")).select("row", "size", "e.gram", "e.n")
+        log = self._log(each.select("gram").distinct(), ORDER - 1)
+        sums = [(-F.sum(F.col("n") * F.col("log")[j]) / F.first("size")) for j in range(len(self.languages))]
+        entropy = each.join(log, "gram").groupBy("row").agg(F.array(*sums).alias("entropy"))
+        none = F.array(*(F.lit(0.0) for _ in self.languages))
+        return held.select("row", column, "size").join(entropy, "row", "left").select(column, "size", F.coalesce("entropy", none).alias("entropy"))
+
+
+def train(docs: DataFrame, p: Params | None = None) -> Model | JoinedModel:
     """The model of the texts and languages in `docs` (text, lang; others ignored). Rows with a null in either teach nothing."""
     p = p or Params()
     known = docs.where("text is not null and lang is not null").select("text", "lang")
     counts = durable(count_keys(known))
-    histogram = counts.groupBy("lang", "n").count()
-    if histogram.select("lang").distinct().count() > p.max_languages:
+    found = [r["lang"] for r in counts.select("lang").distinct().limit(p.max_languages + 1).collect()]
+    if len(found) > p.max_languages:
         raise ValueError(f"more than {p.max_languages} languages")
-    above = histogram.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.sum("count").alias("types")).toPandas()
-    least = {}
-    for lang, own in above.groupby("lang"):
-        own = own.sort_values("n", ascending=False)
-        fits = own["n"][own["types"].cumsum() <= p.max_types]
-        least[lang] = int(fits.min()) if len(fits) else 1001
-    if not least:
+    if not found:
         return Model({})
-    cut = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(n)) for lang, n in least.items()))
-    kept = counts.where(F.col("n") >= cut).toPandas()
-    model = Model({lang: (own["gram"].to_numpy().view(U64)[o := np.argsort(own["gram"].to_numpy().view(U64))], own["n"].to_numpy()[o]) for lang, own in kept.groupby("lang")})
+    if counts.select("gram").distinct().count() * len(found) <= p.broadcast_cells:
+        every_key = counts.toPandas()
+        model = Model({lang: (own["gram"].to_numpy().view(U64)[o := np.argsort(own["gram"].to_numpy().view(U64))], own["n"].to_numpy()[o]) for lang, own in every_key.groupby("lang")})
+    else:
+        model = JoinedModel(found, counts)
     every = max(1, known.count() // p.calibration)
     sample = known.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    languages = model.languages
-
-    def score(batches):
-        for pdf in batches:
-            size, entropy = model.entropies(pdf["text"])
-            yield pd.DataFrame({"truth": [languages.index(x) if x in languages else -1 for x in pdf["lang"]], "size": size, "entropy": list(entropy)})
-
-    judged = sample.mapInPandas(score, "truth int, size long, entropy array<double>").where("size > 0 and truth >= 0").limit(4 * p.calibration).toPandas()
+    place = F.when(F.lit(False), F.lit(-1))
+    for j, lang in enumerate(model.languages):
+        place = place.when(F.col("lang") == lang, F.lit(j))
+    known_sample = sample.select(F.coalesce(place, F.lit(-1)).alias("truth"), "text")
+    judged = model.scored(known_sample, "truth").where("size > 0 and truth >= 0").limit(4 * p.calibration).toPandas()
     if len(judged):
         model.calibrate(judged["size"].to_numpy(), np.stack(judged["entropy"]), judged["truth"].to_numpy())
     return model
 
 
-def predict(docs: DataFrame, model: Model, p: Params | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | JoinedModel, p: Params | None = None) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy, accepted: one row for each row of `docs`, from the text alone.
 
     Text null or without letters (or a model without languages): `und`, score 0, no cross-entropy, not accepted. Ties go to
@@ -288,19 +371,28 @@ def predict(docs: DataFrame, model: Model, p: Params | None = None) -> DataFrame
     """
     p = p or Params()
 
-    def work(batches):
+    def judged(ids, size, entropy) -> pd.DataFrame:
+        out = pd.DataFrame({"doc_id": ids, "lang_pred": UNDETERMINED, "score": 0.0, "cross_entropy": np.nan, "accepted": False})
+        if model.languages and len(out):
+            some = size > 0
+            best = entropy.argmin(axis=1)
+            least = entropy[np.arange(len(best)), best]
+            out.loc[some, "lang_pred"] = np.array(model.languages, object)[best[some]]
+            out.loc[some, "score"] = model.confidence(size, entropy).max(axis=1)[some]
+            out.loc[some, "cross_entropy"] = least[some]
+            out.loc[some, "accepted"] = (least <= model.mean[best] + p.strictness * model.deviation[best])[some]
+        return out
+
+    def from_texts(batches):
+        for pdf in batches:
+            yield judged(pdf["doc_id"].array, *(model.entropies(pdf["text"]) if model.languages else (None, None)))
+
+    def from_scores(batches):
         for pdf in batches:
-            out = pd.DataFrame({"doc_id": pdf["doc_id"].array, "lang_pred": UNDETERMINED, "score": 0.0, "cross_entropy": np.nan, "accepted": False})
-            if model.languages:
-                size, entropy = model.entropies(pdf["text"])
-                some = size > 0
-                best = entropy.argmin(axis=1)
-                least = entropy[np.arange(len(best)), best]
-                out.loc[some, "lang_pred"] = np.array(model.languages, object)[best[some]]
-                out.loc[some, "score"] = model.confidence(size, entropy).max(axis=1)[some]
-                out.loc[some, "cross_entropy"] = least[some]
-                out.loc[some, "accepted"] = (least <= model.mean[best] + p.strictness * model.deviation[best])[some]
-            yield out
+            yield judged(pdf["doc_id"].array, pdf["size"].to_numpy(), np.stack(pdf["entropy"]) if len(pdf) else None)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(work, "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean")
+    schema = "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean"
+    if isinstance(model, JoinedModel):
+        return model.scored(rows, "doc_id").mapInPandas(from_scores, schema)
+    return rows.mapInPandas(from_texts, schema)

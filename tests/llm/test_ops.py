@@ -261,6 +261,30 @@ def test_language_edge_cases(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_language_with_many_keys(spark):
+    """More distinct keys than any bound on a language's keys, and none that occurs often."""
+    letters = np.array([chr(c) for c in range(0x4E00, 0x5B00)])
+    han = "".join(np.random.default_rng(3).choice(letters, 260_000))
+    docs = spark.createDataFrame([(k, han[k * 4000 : (k + 1) * 4000], "zh") for k in range(65)] + [(100 + k, prose(k, 200), "xx") for k in range(20)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == ["xx", "zh"]
+    found = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    assert all(found[k]["lang_pred"] == "zh" and found[k]["cross_entropy"] < 3 for k in range(65))
+
+
+def test_joined_model_like_the_one_in_memory(spark):
+    texts = [prose(k, 60) for k in range(12)] + ["the weather and the other father " * 3, "das Wetter und der Vater " * 3]
+    train = spark.createDataFrame([(t, "ab"[k % 2] if k < 12 else "cd"[k % 2]) for k, t in enumerate(texts)], "text string, lang string")
+    docs = docs_of(spark, texts + [prose(99, 80), "weather Vater zzz qqq", "1234 !!"])
+    small, large = langid.train(train), langid.train(train, langid.Params(broadcast_cells=0))
+    assert isinstance(small, langid.Model) and isinstance(large, langid.JoinedModel)
+    assert large.sharpness == small.sharpness and np.allclose(large.mean, small.mean, atol=1e-5)
+    a, b = (langid.predict(docs, m).toPandas().sort_values(["doc_id", "score"]).reset_index(drop=True) for m in (small, large))
+    assert len(a) == len(b) == docs.count()
+    assert a[["lang_pred", "accepted"]].equals(b[["lang_pred", "accepted"]])
+    assert np.allclose(a[["score", "cross_entropy"]], b[["score", "cross_entropy"]], atol=1e-4, equal_nan=True)
+
+
 # --- 6
 
 
