@@ -15,17 +15,17 @@ from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from logloom.llm.common import with_id_column
+from logloom.llm.common import over_column, with_id_column
 
 #: Below so many bytes a string is merged directly.
 LEAF = 16
 NEVER = 1 << 62
 #: How many distinct pieces a worker remembers; it then forgets all of them.
-REMEMBER = 250_000
+REMEMBER = 60_000
 
 
 class _Pieces(dict):
@@ -135,24 +135,24 @@ def codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>) for each row. Null text counts as empty: no tokens. doc_id may be null or repeat."""
 
-    def work(batches):
+    def work(texts):
         own = codec(path, pattern)
-        for pdf in batches:
-            ids = [np.asarray(own.encode(t) if isinstance(t, str) else [], dtype=np.int32) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n_tokens": [len(x) for x in ids], "ids": ids})
+        ids = [np.asarray(own.encode(t or ""), dtype=np.int32) for t in texts]
+        return [len(x) for x in ids], ids
 
-    return with_id_column(docs).mapInPandas(work, "doc_id long, n_tokens long, ids array<int>")
+    return over_column(with_id_column(docs), "text", work, "n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, data (binary): the bytes of each row's `ids`. Null ids give no bytes."""
 
-    def work(batches):
+    def work(packed):
         own = codec(path, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "data": [own.decode(x if x is not None else ()) for x in pdf["ids"]]})
+        return [[own.decode(np.frombuffer(x, ">i4").tolist()) for x in packed]]
 
-    return encoded.select("doc_id", "ids").mapInPandas(work, "doc_id long, data binary")
+    # ids travel as bytes (four for each, most significant first), so that batches can be cut by size
+    packed = F.unhex(F.array_join(F.transform(F.coalesce("ids", F.array().cast("array<int>")), lambda i: F.lpad(F.hex(i), 8, "0")), ""))
+    return over_column(encoded.select("doc_id", packed.alias("ids")), "ids", work, "data binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -161,15 +161,13 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ids_sha256 is of the ids as little-endian unsigned 32-bit integers, decoded_sha256 of the decoded bytes.
     """
 
-    def work(batches):
-        own = codec(path, pattern)
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                ids = own.encode(text) if isinstance(text, str) else []
-                rows.append((len(ids), hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].array)
-            yield out
-
-    return with_id_column(docs).mapInPandas(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def work(texts):
+        own, n, one, two = codec(path, pattern), [], [], []
+        for text in texts:
+            ids = own.encode(text or "")
+            n.append(len(ids))
+            one.append(hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest())
+            two.append(hashlib.sha256(own.decode(ids)).hexdigest())
+        return n, one, two
+
+    return over_column(with_id_column(docs), "text", work, "n_tokens long, ids_sha256 string, decoded_sha256 string")

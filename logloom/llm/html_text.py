@@ -12,10 +12,11 @@ import html
 import math
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.common import over_column
+
 # Element names of the HTML standard by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -250,10 +251,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row. Null html counts as empty; page_id and url may be null or repeat;
     other columns are ignored."""
 
-    def work(batches):
-        for pdf in batches:
-            texts = [extract_text(p if isinstance(p, str) else None) for p in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"].array, "url": pdf["url"].array, "text": texts, "n_chars": [len(t) for t in texts]})
+    def work(values):
+        texts = [extract_text(p) for p in values]
+        return texts, [len(t) for t in texts]
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInPandas(work, "page_id long, url string, text string, n_chars long")
+    return over_column(rows, "html", work, "text string, n_chars long")

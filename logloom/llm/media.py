@@ -17,11 +17,10 @@ from bisect import bisect_left
 from dataclasses import dataclass, field
 from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import slices, with_id_column
+from logloom.llm.common import over_column, with_id_column
 
 # Fixed values of the MPEG audio frame header (ISO/IEC 11172-3 and 13818-3): kbit/s by index 1 to 14, Hz by index 0 to 2.
 BITRATES = {
@@ -278,40 +277,31 @@ def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (binary): the text of each row as UTF-8, padded, in an MPEG audio stream. Null text counts as empty.
     doc_id may be null or repeat; other columns are ignored."""
 
-    def work(batches):
-        for pdf in slices(batches, 512):
-            texts = [t.encode("utf-8") if isinstance(t, str) else b"" for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n_bytes": [len(t) for t in texts], "media": [write(padded(t)) for t in texts]})
+    def work(texts):
+        data = [(t or "").encode("utf-8") for t in texts]
+        return [len(x) for x in data], [write(padded(x)) for x in data]
 
-    return with_id_column(docs).mapInPandas(work, "doc_id long, n_bytes long, media binary")
+    return over_column(with_id_column(docs), "text", work, "n_bytes long, media binary")
 
 
 def read_media(media: DataFrame, column: str = "media") -> DataFrame:
-    """What the parser reads in a column of MPEG audio, beside the other columns: payload, samples, sample_rate, duration_us,
+    """What the parser reads in a column of MPEG audio, after the columns there are: payload, samples, sample_rate, duration_us,
     seek_offsets (of all frames), feature. A null is read as no bytes."""
-    others = [f for f in media.schema.fields if f.name != column]
 
-    def work(batches):
-        for pdf in slices(batches, 512):
-            rows = []
-            for data in pdf[column]:
-                data = data or b""
-                found = parse(data)
-                rows.append((data, found.payload(data), found.samples, found.rate, int(found.duration * 1_000_000), found.offsets, features(found)))
-            out = pd.DataFrame(rows, columns=[column, "payload", "samples", "sample_rate", "duration_us", "seek_offsets", "feature"])
-            for k, f in enumerate(others):
-                out.insert(k, f.name, pdf[f.name].array)
-            yield out
+    def work(values):
+        rows = []
+        for data in values:
+            data = data or b""
+            found = parse(data)
+            rows.append((found.payload(data), found.samples, found.rate, int(found.duration * 1_000_000), found.offsets, features(found)))
+        return list(zip(*rows, strict=True))
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
-    return media.mapInPandas(work, f"{kept}`{column}` binary, payload binary, samples long, sample_rate long, duration_us long, seek_offsets array<int>, feature string")
+    return over_column(media, column, work, "payload binary, samples long, sample_rate long, duration_us long, seek_offsets array<int>, feature string", keep=True)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, samples, duration_us,
     n_frames: one row for each row of `docs`, from the payload as read back."""
-
-
     read = read_media(to_media(docs))
     return read.select(
         "doc_id",
@@ -326,5 +316,3 @@ def digests(docs: DataFrame) -> DataFrame:
         "duration_us",
         F.size("seek_offsets").cast("long").alias("n_frames"),
     )
-
-

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import U64, chunks, durable, mix64, slices, with_id_column, word_hashes
+from logloom.llm.common import U64, chunks, durable, mix64, over_column, with_id_column, word_hashes
 
 WORDS = 5
 _rng = np.random.default_rng(77)
@@ -134,21 +134,21 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _fingerprints(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Two 64-bit sums over each set."""
+    one = [int(_signed(x.sum(dtype=U64, keepdims=True))[0]) for x in sets]
+    return one, [int(_signed(mix64(x ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64, keepdims=True))[0]) for x in sets]
+
+
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n, two fingerprints of the set, and the registers of those that can be like another set."""
+    """doc_id, copy (a hash of the text), n, two fingerprints of the set, and the registers of those that can be like another set."""
 
-    def work(batches):
-        for pdf in slices(batches):
-            rows = []
-            for own in shingle_sets(pdf["text"]):
-                one = int(_signed(own.sum(dtype=U64, keepdims=True))[0])
-                two = int(_signed(mix64(own ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64, keepdims=True))[0])
-                rows.append((len(own), one, two, sketch(own, p).tobytes() if may_link(len(own), p) else None))
-            out = pd.DataFrame(rows, columns=["n", "one", "two", "regs"])
-            out.insert(0, "doc_id", pdf["doc_id"].array)
-            yield out
+    def work(texts):
+        sets = shingle_sets(texts)
+        return [len(x) for x in sets], *_fingerprints(sets), [sketch(x, p).tobytes() if may_link(len(x), p) else None for x in sets]
 
-    return with_id_column(docs).mapInPandas(work, "doc_id long, n long, one long, two long, regs binary")
+    rows = with_id_column(docs).select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    return over_column(rows, "text", work, "n long, one long, two long, regs binary")
 
 
 def may_link(n: int, p: Params) -> bool:
@@ -266,18 +266,27 @@ def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of `docs`.
 
     Text null, empty or without words: n_shingles 0, a component of its own. doc_id null: no node, component_id null,
-    kept true. Rows with the same doc_id are one node, and each of them is returned. Other columns are ignored.
+    kept true. Rows with the same doc_id are one node, which has the links of all of its texts, and each of them is returned
+    with the size of its own set. Other columns are ignored.
     """
     p = p or Params()
     all_rows = durable(sketches(docs, p))
+    return _resolved(docs, all_rows, p).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _resolved(docs: DataFrame, all_rows: DataFrame, p: Params) -> DataFrame:
+    """doc_id, n, component_id for each row of the sketches."""
     known = all_rows.where("doc_id is not null and n > 0")
-    classes = durable(known.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"), F.any_value("regs").alias("regs")))
+    # a class of equal sets is named by the smallest of its ids; (rep, copy) is one text of it
+    first = F.min(F.struct("doc_id", "copy")).alias("first")
+    classes = durable(known.groupBy("n", "one", "two").agg(first, F.any_value("regs").alias("regs")).select("n", "one", "two", F.col("first.doc_id").alias("rep"), F.col("first.copy").alias("copy"), "regs"))
 
     def bands(batches):
-        for pdf in slices(batches):
-            if len(pdf):
-                regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), p.registers)
-                yield pd.DataFrame({"band": _signed(np.concatenate([band_hashes(r, p) for r in regs])), "rep": np.repeat(pdf["rep"].to_numpy(), p.bands)})
+        for pdf in batches:
+            for i in range(0, len(pdf), 1024):
+                part = pdf.iloc[i : i + 1024]
+                regs = np.frombuffer(b"".join(part["regs"]), np.uint16).reshape(len(part), p.registers)
+                yield pd.DataFrame({"band": _signed(np.concatenate([band_hashes(r, p) for r in regs])), "rep": np.repeat(part["rep"].to_numpy(), p.bands)})
 
     banded = classes.where("regs is not null").select("rep", "regs").mapInPandas(bands, "band long, rep long")
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("band", "hub")
@@ -285,17 +294,15 @@ def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
     clusters = components(stars).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
     members = durable(classes.where("regs is not null").join(clusters, "rep"))
     dealt = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / p.block_rows, F.sum("n") / p.block_shingles)).cast("int").alias("blocks"))
+    placed = members.join(dealt, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
-    def full_sets(batches):
-        for pdf in slices(batches):
-            if len(pdf):
-                yield pdf.assign(hashes=[s.tobytes() for s in shingle_sets(pdf["text"])]).drop(columns="text")
+    def full_sets(texts):
+        sets = shingle_sets(texts)
+        return [x.tobytes() for x in sets], *_fingerprints(sets)
 
-    placed = members.join(dealt, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = with_id_column(docs).where("doc_id is not null").withColumnRenamed("doc_id", "rep")
-    joined = texts.join(placed.select("rep", "n", "regs", "cluster", "blocks", "block"), "rep")
-    with_sets = joined.mapInPandas(full_sets, "rep long, n long, regs binary, cluster long, blocks int, block int, hashes binary")
-    with_sets = with_sets.where(F.octet_length("hashes") == 8 * F.col("n"))
+    # rows that repeat an id and its text are one before they meet anything
+    texts = with_id_column(docs).where("doc_id is not null").select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("copy"), "text").dropDuplicates(["rep", "copy"])
+    with_sets = over_column(texts.join(placed, ["rep", "copy"]), "text", full_sets, "hashes binary, one_now long, two_now long").where("one = one_now and two = two_now")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = (
         with_sets.withColumn("other", other)
@@ -303,17 +310,22 @@ def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
         .repartition("cluster", "low", "high")
         .sortWithinPartitions("cluster", "low", "high")
     )
-    links = durable(units.mapInPandas(lambda it: _links(it, p), "a long, b long"))
-    roots = components(links).withColumnRenamed("node", "rep")
+    links = units.mapInPandas(lambda it: _links(it, p), "a long, b long")
+    # an id with several sets ties their classes together
+    several = all_rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "one", "two")).alias("a"), F.max(F.struct("n", "one", "two")).alias("b")).where("a <> b").select("doc_id")
+    ties = known.join(several, "doc_id", "left_semi").join(classes.drop("copy", "regs"), ["n", "one", "two"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    roots = components(durable(links.unionByName(ties))).withColumnRenamed("node", "rep")
     to_root = classes.join(roots, "rep", "left").select("n", "one", "two", F.coalesce("root", "rep").alias("component_id"))
     linked = known.join(to_root, ["n", "one", "two"]).select("doc_id", "n", "component_id")
-    alone = all_rows.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return linked.unionByName(all_rows.where("doc_id is null or n = 0").join(roots, F.col("doc_id") == F.col("rep"), "left").select("doc_id", "n", F.coalesce("root", "doc_id").alias("component_id")))
 
 
 def deduplicate(docs: DataFrame, p: Params | None = None) -> DataFrame:
-    """`docs` with one document of each group of near duplicates: the one with the smallest doc_id. Rows that repeat a kept
-    document exactly, doc_id included, leave one row."""
-    kept = near_duplicates(docs, p).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    """`docs` with one document of each group of near duplicates: the one with the smallest doc_id. Of rows that repeat a kept
+    document in every column one is left; rows with its doc_id and another text, or anything else that differs, stay. Rows without
+    a doc_id stay."""
+    found = near_duplicates(docs, p).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    kept = durable(found)
+    once = docs.join(kept.where("copies = 1").select("doc_id"), "doc_id", "left_semi")
+    again = docs.join(kept.where("copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates()
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))

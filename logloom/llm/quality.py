@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import U64, chunks, durable, mix64, span_hashes
+from logloom.llm.common import U64, bound_batches, chunks, durable, fresh, mix64, over_column, span_hashes
 
 _CLASS = np.full(256, 2, np.uint8)  # other characters
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -77,15 +77,14 @@ def labelled_sample(labels: DataFrame, p: Params) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_labelled)
 
 
-def fit(docs: DataFrame, good: np.ndarray, p: Params) -> np.ndarray:
-    """Integer log ratios by bucket: the target model from the documents in `good` (sorted ids), the raw one from all."""
+def fit(docs: DataFrame, good: DataFrame, p: Params) -> np.ndarray:
+    """Integer log ratios by bucket: the target model from the documents in `good` (doc_id, at most `max_labelled`), the raw one from all."""
 
     def count(batches):
         raw, target = np.zeros(p.buckets, np.int64), np.zeros(p.buckets, np.int64)
         for pdf in batches:
-            ids = pdf["doc_id"].to_numpy("float64", na_value=np.nan) if pdf["doc_id"].hasnans else pdf["doc_id"].to_numpy()
-            wanted = np.isin(ids, good)
-            for i, encoded in chunks(pdf["text"], 1 << 18):
+            wanted = pdf["wanted"].to_numpy()
+            for i, encoded in chunks(pdf["text"]):
                 found, first = features(encoded, p.buckets)
                 raw += np.bincount(found, minlength=p.buckets)
                 for k in np.flatnonzero(wanted[i : i + len(encoded)]):
@@ -95,7 +94,9 @@ def fit(docs: DataFrame, good: np.ndarray, p: Params) -> np.ndarray:
         seen = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": seen, "raw": raw[seen], "target": target[seen]})
 
-    sums = docs.select("doc_id", "text").mapInPandas(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    bound_batches(docs.sparkSession)
+    marked = _texts(docs).join(F.broadcast(good.select("doc_id", F.lit(True).alias("wanted"))), "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    sums = marked.mapInPandas(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     found = sums.toPandas()  # a row for each bucket at most
     raw, target = np.full(p.buckets, p.smooth), np.full(p.buckets, p.smooth)
     raw[found["bucket"]] += found["raw"]
@@ -104,17 +105,20 @@ def fit(docs: DataFrame, good: np.ndarray, p: Params) -> np.ndarray:
     return np.rint(ratio * float(_ONE)).astype(np.int64)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def _few(part: np.ndarray, buckets: int) -> np.ndarray:
     out = np.zeros(buckets, np.int64)
     np.add.at(out, part, 1)
     return out
 
 
-def weigh(ids, texts, ratios: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-grams, log weight (at the reference length if longer), and weight plus Gumbel noise of some documents. Without n-grams the
-    weight is minus infinity."""
+def weigh(texts, ratios: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams and log weight (at the reference length if longer) of some texts. Without n-grams the weight is minus infinity."""
     sizes, weights = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf)
-    for i, encoded in chunks(texts, 1 << 18):
+    for i, encoded in chunks(texts):
         found, first = features(encoded, len(ratios))
         n = np.diff(first)
         sums = np.concatenate(([0], np.cumsum(ratios[found])))
@@ -123,9 +127,13 @@ def weigh(ids, texts, ratios: np.ndarray, p: Params) -> tuple[np.ndarray, np.nda
         at = np.arange(i, i + len(encoded))
         sizes[at] = n
         weights[at[some]] = total[some] / float(_ONE) * np.minimum(1.0, p.length / n[some])
-    code = pd.Series(ids).fillna(-1).to_numpy().astype(np.int64).view(U64)
-    uniform = ((mix64(code ^ U64(p.seed * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> U64(11)).astype(np.float64) + 0.5) / 2.0**53
-    return sizes, weights, weights - np.log(-np.log(uniform))
+    return sizes, weights
+
+
+def gumbel(doc_id: Column, seed: int) -> Column:
+    """Gumbel noise that depends on the id and the seed alone: minus the log of minus the log of a hash as a number from 0 to 1."""
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), doc_id.cast("long")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return -F.log(-F.log(uniform))
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
@@ -171,29 +179,21 @@ class Model:
 
 def scores(docs: DataFrame, ratios: np.ndarray, p: Params) -> DataFrame:
     """doc_id, n_grams, log_weight, sample_key for each row."""
-
-    def work(batches):
-        for pdf in batches:
-            n, weight, key = weigh(pdf["doc_id"], pdf["text"], ratios, p)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n_grams": n, "log_weight": weight, "sample_key": key})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        work, "doc_id long, n_grams long, log_weight double, sample_key double"
-    )
+    found = over_column(_texts(docs), "text", lambda texts: weigh(texts, ratios, p), "n_grams long, log_weight double")
+    return found.withColumn("sample_key", F.col("log_weight") + gumbel(F.col("doc_id"), p.seed))
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params, k: int | None = None) -> tuple[Model, DataFrame]:
     """The model and the scores of all rows. `k`: documents to sample; by default as many as weigh more than the cut."""
-    sample = labelled_sample(labels, p)
-    known = sample.toPandas()
-    good = np.sort(known.loc[known["quality"] > 0, "doc_id"].to_numpy("int64"))
+    known = durable(labelled_sample(labels, p))
+    good = known.where("quality > 0")
     ratios = fit(docs, good, p)
     found = durable(scores(docs, ratios, p))
-    if len(good):
-        judged = found.join(F.broadcast(docs.sparkSession.createDataFrame(known.astype("int64"), "doc_id long, quality long")), "doc_id").select("quality", "log_weight").limit(4 * p.max_labelled).toPandas()
+    cut = -np.inf
+    if not good.isEmpty():
+        # one row for each labelled document; of rows that repeat an id, the least weight
+        judged = found.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("log_weight").alias("log_weight")).toPandas()
         cut = best_cut(judged.loc[judged["quality"] > 0, "log_weight"].to_numpy(), judged.loc[judged["quality"] <= 0, "log_weight"].to_numpy())
-    else:
-        cut = -np.inf
     k = found.where(F.col("log_weight") > cut).count() if k is None else k
     return Model(ratios, cut, kth_largest(found, "sample_key", k)), found
 
@@ -210,12 +210,16 @@ def classify(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Dat
 
 
 def select(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> DataFrame:
-    """The rows of `docs` that `classify` keeps, all columns as they are. Texts are scored again in place, not shuffled."""
+    """The rows of `docs` that `classify` keeps, all columns as they are. Texts are scored again in place, not shuffled, and only
+    they go to Python."""
     p = p or Params()
     model, _ = train(docs, labels, p)
+    bound_batches(docs.sparkSession)
 
-    def work(batches):
-        for pdf in batches:
-            yield pdf[weigh(pdf["doc_id"], pdf["text"], model.ratios, p)[2] >= model.threshold]
+    @F.pandas_udf("double")
+    def log_weight(texts: pd.Series) -> pd.Series:
+        return pd.Series(weigh(texts.tolist(), model.ratios, p)[1])
 
-    return docs.mapInPandas(work, docs.schema)
+    (name,) = fresh(docs, "log_weight")
+    weighed = docs.withColumn(name, log_weight(F.col("text").cast("string")))
+    return weighed.where(F.col(name) + gumbel(F.col("doc_id"), p.seed) >= F.lit(model.threshold)).select(*docs.columns)

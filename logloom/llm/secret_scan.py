@@ -16,9 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from logloom.llm.common import CHUNK_BYTES, with_id_column
+from logloom.llm.common import CHUNK_BYTES, bound_batches, fresh, over_column, with_id_column
 
 #: The kinds in the order in which spans of equal start are listed. The first three are the base patterns.
 KINDS = ("assign", "access", "hex", "pem", "der_key", "ssh_key", "signed_token")
@@ -38,8 +37,6 @@ _RUN = np.zeros(256, bool)
 _RUN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_.=-"]] = True
 _SHORTEST_RUN = 20
 
-SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
-
 
 def der(data: bytes) -> list[tuple[int, bytes]] | None:
     """The (tag, content) items of a DER byte string if lengths fit it exactly, else None."""
@@ -201,14 +198,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no spans. doc_id may be null or repeat; other columns are ignored.
     """
-
-    def work(batches):
-        for pdf in batches:
-            spans = [[(KINDS[k], a, b) for a, k, b in found] for found in scan_texts(pdf["text"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "spans": spans})
-
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", SPANS)])
-    return with_id_column(docs).mapInPandas(work, schema)
+    work = lambda texts: [[[{"kind": KINDS[k], "start": a, "stop": b} for a, k, b in found] for found in scan_texts(texts)]]
+    return over_column(with_id_column(docs), "text", work, "spans array<struct<kind: string, start: int, stop: int>>")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -223,34 +214,29 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def _cut(text: str, spans) -> str:
+    parts, at = [], 0
+    for start, _, stop in spans:
+        if start >= at:
+            parts += [text[at:start], "[SECRET]"]
+        at = max(at, stop)
+    return "".join([*parts, text[at:]])
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every span of its text replaced by [SECRET] (overlapping spans by one), and n_chars counted again where
-    a text changed. Columns and rows stay; texts without secrets are untouched."""
-    columns = docs.columns
-
-    def clean(text: str | None, spans) -> str | None:
-        if not spans:
-            return text
-        parts, at = [], 0
-        for start, _, stop in spans:
-            if start >= at:
-                parts += [text[at:start], "[SECRET]"]
-            at = max(at, stop)
-        return "".join([*parts, text[at:]])
-
-    def work(batches):
-        for pdf in batches:
-            spans = scan_texts(pdf["text"])
-            hit = [i for i, s in enumerate(spans) if s]
-            if hit:
-                texts = pdf["text"].astype(object).copy()
-                for i in hit:
-                    texts.iloc[i] = clean(texts.iloc[i], spans[i])
-                pdf = pdf.assign(text=texts)
-                if "n_chars" in columns:
-                    counts = pdf["n_chars"].copy()
-                    counts.iloc[hit] = [len(texts.iloc[i]) for i in hit]
-                    pdf["n_chars"] = counts
-            yield pdf
-
-    return docs.mapInPandas(work, docs.schema)
+    a text changed. Columns and rows stay; texts without secrets are untouched. Only texts go to Python."""
+    bound_batches(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        own = texts.tolist()
+        return pd.Series([_cut(t, spans) if spans else None for t, spans in zip(own, scan_texts(own), strict=True)], dtype=object)
+
+    (name,) = fresh(docs, "clean")
+    found = docs.withColumn(name, clean(F.col("text").cast("string")))  # null: nothing to cut
+    kinds = dict(docs.dtypes)
+    new = {"text": F.coalesce(F.col(name), F.col("text").cast("string")).cast(kinds["text"])}
+    if "n_chars" in kinds:
+        new["n_chars"] = F.when(F.col(name).isNotNull(), F.char_length(name).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
+    return found.withColumns(new).select(*docs.columns)

@@ -115,10 +115,9 @@ def test_kth_largest_is_exact(spark):
     assert quality.kth_largest(rows, "v", 0) == float("inf")
 
 
-def test_gumbel_sample_follows_weights():
-    p = quality.Params(length=1)
-    _, _, keys = quality.weigh(np.arange(20000), ["x"] * 20000, np.zeros(p.buckets, np.int64), p)
-    assert abs(keys.mean() - 0.5772) < 0.05  # Gumbel noise alone
+def test_gumbel_noise(spark):
+    keys = np.array([r[0] for r in spark.range(20000).select(quality.gumbel(F.col("id"), 7)).collect()])
+    assert abs(keys.mean() - 0.5772) < 0.05 and abs(keys.std() - np.pi / 6**0.5) < 0.05
 
 
 # --- 3
@@ -557,3 +556,49 @@ def test_scan_as_plain_patterns(spark, tiny):
         want += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
         want += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
         assert sorted(tuple(s) for s in r["spans"] if s["kind"] in secret_scan.BASE_KINDS) == sorted(want)
+
+
+# --- all
+
+
+def test_ids_beside_nulls(spark):
+    """Whole numbers beyond 2**53 stay as they are beside a null, ids and other columns alike."""
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "token = abcdefgh " + prose(1, 30), "en", "a", big), (None, prose(2, 30), "en", "a", None), (big + 2, None, None, None, big + 2)], DOCS)
+    labels = spark.createDataFrame([(big, 1, 0)], "doc_id long, quality int, toxic int")
+    want = {big, None, big + 2}
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    assert ids(bpe.round_trip_digests(docs, RANKS, public_tokenizers.PATTERN)) == want
+    assert ids(neardup.near_duplicates(docs)) == want and {r["component_id"] for r in neardup.near_duplicates(docs).collect()} == want
+    assert ids(quality.classify(docs, labels)) == want and ids(secret_scan.digests(docs)) == want and ids(media.digests(docs)) == want
+    assert ids(mixing.decide(docs)) == want and ids(langid.predict(docs, langid.train(docs))) == want
+    assert {r["n_chars"] for r in quality.select(docs, labels).collect()} == {big, None}
+    assert {r["n_chars"] for r in secret_scan.redact(docs).where("text is null or text not like '%[SECRET]%'").collect()} == {None, big + 2}
+    pages = spark.createDataFrame([(big, "u", "<p>x"), (None, "u", None)], "page_id long, url string, html string")
+    assert {r["page_id"] for r in html_text.extract(pages).collect()} == {big, None}
+
+
+def test_neardup_of_ids_with_several_texts(spark):
+    a, b, c = prose(1, 30), prose(2, 30), prose(3, 30)
+    docs = spark.createDataFrame([(0, b), (1, a), (1, b), (2, a), (7, c), (9, c), (9, ""), (8, None), (8, "")], "doc_id long, text string")
+    found = [(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()]
+    assert sorted(found) == [(0, 0), (1, 0), (1, 0), (2, 0), (7, 7), (8, 8), (8, 8), (9, 7), (9, 7)]
+    rows = [(1, a, 1), (1, b, 1), (1, b, 2), (1, b, 2), (3, a + " x", 1), (None, a, 1), (4, None, 1), (4, None, 1)]
+    kept = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, extra int")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(1, a, 1), (1, b, 1), (1, b, 2), (None, a, 1), (4, None, 1)]))
+
+
+def test_neardup_of_many_repeated_rows(spark):
+    """Rows that repeat an id and a text are one before blocks are made."""
+    import time
+
+    words = prose(5, 120).split()
+    near = " ".join(["changed" if i == 60 else w for i, w in enumerate(words)])
+    took = []
+    for n in (200, 4000):
+        docs = spark.createDataFrame([(i % 2, " ".join(words) if i % 2 else near) for i in range(n)], "doc_id long, text string")
+        began = time.perf_counter()
+        found = neardup.near_duplicates(docs).collect()
+        took.append(time.perf_counter() - began)
+        assert len(found) == n and {r["component_id"] for r in found} == {0}
+    assert took[1] < 2 * took[0] + 5
