@@ -24,23 +24,27 @@ from logloom.llm.common import over_column, with_id_column
 #: Below so many bytes a string is merged directly.
 LEAF = 16
 NEVER = 1 << 62
-#: How many distinct pieces a worker remembers; it then forgets all of them.
-REMEMBER = 60_000
+#: How many distinct pieces (and pairs of tokens) a generation of a worker's memory holds. There are two: what is asked for again moves to
+#: the young one, and when that is full the old one is forgotten.
+REMEMBER = 64_000
 
 
-class _Pieces(dict):
-    """Encodings of pieces, made when first asked for. Long pieces are not kept."""
+class _Memory(dict):
+    """Results by key, made when first asked for."""
 
     def __init__(self, make) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
-        found = self.make(text)
-        if len(text) <= 64:
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if not isinstance(key, str) or len(key) <= 64:  # long pieces are not kept
             if len(self) >= REMEMBER:
+                self.old = self.copy()
                 self.clear()
-            self[text] = found
+            self[key] = found
         return found
 
 
@@ -51,8 +55,8 @@ class Codec:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.known = _Pieces(self.piece)
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.known = _Memory(self.piece)
+        self.stable = _Memory(self._is_stable)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -77,12 +81,10 @@ class Codec:
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether a, b is the encoding of their bytes."""
-        found = self.stable.get((a, b))
-        if found is None:
-            found = self.stable[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-            if len(self.stable) > REMEMBER:
-                self.stable.clear()
-        return found
+        return self.stable[a, b]
+
+    def _is_stable(self, pair: tuple[int, int]) -> bool:
+        return self.merge(self.tokens[pair[0]] + self.tokens[pair[1]]) == list(pair)
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the concatenation of two encoded strings."""

@@ -32,11 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found or _LOCAL_CHECKPOINTS
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df`, computed once into the checkpoint folder that all machines share, so that lost executors cost no recomputation."""
+#: Rows of a small table in one file; see `durable`.
+ROWS_A_FILE = 10_000
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df`, computed once into the checkpoint folder that all machines share, so that lost executors cost no recomputation. With `rows`,
+    about how many rows it has, a small table isn't strewn over as many files as there are shuffle partitions."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(df.sparkSession))
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     return df.checkpoint(eager=True)
 
 

@@ -159,16 +159,19 @@ def may_link(n: int, p: Params) -> bool:
 SALTS = 64
 
 
-def _crowded(pairs: DataFrame) -> list[int]:
+def _crowded(pairs: DataFrame, total: int) -> list[int]:
     """Nodes with more than a hundredth of all edges (and a thousand): fewer than two hundred, whatever the input."""
+    if total <= 1000:
+        return []
     ends = pairs.select(F.explode(F.array("a", "b")).alias("u")).groupBy("u").count()
-    return [r["u"] for r in ends.where(F.col("count") > max(1000, pairs.count() // 100)).collect()]
+    return [r["u"] for r in ends.where(F.col("count") > max(1000, total // 100)).collect()]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None, rounds: int = 60) -> DataFrame:
     """node, root: the smallest node that each node of the edges (a, b) reaches. Alternating large and small stars.
 
-    The neighbours of a crowded node (a hub of copies) are dealt over many tasks by a salt.
+    `most`: how many edges there are at most, if known. The neighbours of a crowded node (a hub of copies) are dealt over many
+    tasks by a salt.
     """
 
     def star(pairs: DataFrame, large: bool, crowded: list[int]) -> DataFrame:
@@ -186,14 +189,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return moved.where("a <> b").distinct()
 
-    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), most)
     for _ in range(rounds):
         twice = now.groupBy("a").count().where("count > 1").select("a")
         chained = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
         if twice.unionByName(chained).isEmpty():  # every node hangs on one root, and no root hangs on another
             break
-        crowded = _crowded(now)
-        now = durable(star(star(now, True, crowded), False, crowded))
+        total = now.count()
+        crowded = _crowded(now, total)
+        now = durable(star(star(now, True, crowded), False, crowded), total)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -279,7 +283,7 @@ def _resolved(docs: DataFrame, all_rows: DataFrame, p: Params) -> DataFrame:
     known = all_rows.where("doc_id is not null and n > 0")
     # a class of equal sets is named by the smallest of its ids; (rep, copy) is one text of it
     first = F.min(F.struct("doc_id", "copy")).alias("first")
-    classes = durable(known.groupBy("n", "one", "two").agg(first, F.any_value("regs").alias("regs")).select("n", "one", "two", F.col("first.doc_id").alias("rep"), F.col("first.copy").alias("copy"), "regs"))
+    classes = durable(known.groupBy("n", "one", "two").agg(first, F.any_value("regs").alias("regs")).select("n", "one", "two", F.col("first.doc_id").alias("rep"), F.col("first.copy").alias("copy"), "regs"), all_rows.count())
 
     def bands(batches):
         for pdf in batches:
@@ -291,8 +295,8 @@ def _resolved(docs: DataFrame, all_rows: DataFrame, p: Params) -> DataFrame:
     banded = classes.where("regs is not null").select("rep", "regs").mapInPandas(bands, "band long, rep long")
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("band", "hub")
     stars = banded.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(stars).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
-    members = durable(classes.where("regs is not null").join(clusters, "rep"))
+    clusters = components(stars, 4 * classes.count()).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    members = durable(classes.where("regs is not null").join(clusters, "rep"), classes.count())
     dealt = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / p.block_rows, F.sum("n") / p.block_shingles)).cast("int").alias("blocks"))
     placed = members.join(dealt, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
@@ -314,7 +318,8 @@ def _resolved(docs: DataFrame, all_rows: DataFrame, p: Params) -> DataFrame:
     # an id with several sets ties their classes together
     several = all_rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "one", "two")).alias("a"), F.max(F.struct("n", "one", "two")).alias("b")).where("a <> b").select("doc_id")
     ties = known.join(several, "doc_id", "left_semi").join(classes.drop("copy", "regs"), ["n", "one", "two"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = components(durable(links.unionByName(ties))).withColumnRenamed("node", "rep")
+    links = durable(links.unionByName(ties))
+    roots = components(links, links.count()).withColumnRenamed("node", "rep")
     to_root = classes.join(roots, "rep", "left").select("n", "one", "two", F.coalesce("root", "rep").alias("component_id"))
     linked = known.join(to_root, ["n", "one", "two"]).select("doc_id", "n", "component_id")
     return linked.unionByName(all_rows.where("doc_id is null or n = 0").join(roots, F.col("doc_id") == F.col("rep"), "left").select("doc_id", "n", F.coalesce("root", "doc_id").alias("component_id")))
@@ -325,7 +330,7 @@ def deduplicate(docs: DataFrame, p: Params | None = None) -> DataFrame:
     document in every column one is left; rows with its doc_id and another text, or anything else that differs, stay. Rows without
     a doc_id stay."""
     found = near_duplicates(docs, p).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = durable(found)
+    kept = durable(found, docs.count())
     once = docs.join(kept.where("copies = 1").select("doc_id"), "doc_id", "left_semi")
     again = docs.join(kept.where("copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates()
     return once.unionByName(again).unionByName(docs.where("doc_id is null"))

@@ -1,8 +1,10 @@
 """Secret scans with structural confirmation.
 
-Base patterns find assignments, access keys and long hex runs. On top, runs that could be encoded keys are decoded
-(base64, base64url or hex) and reported only if what they hold is built like a secret: nested lengths of a DER private
-key that fit exactly, the length-prefixed fields of an SSH key, or the JSON header of a signed token with its three parts.
+Base patterns find assignments, access keys and long hex runs. On top, encoded keys are looked for wherever their first bytes
+can stand, whatever is left of them: those bytes (base64, base64url or hex, on one line or wrapped) tell how long the key
+is, so many bytes are decoded, and a key is reported only if they are built like one: nested lengths of a DER private key
+that fit exactly, the length-prefixed fields of an SSH private key, or the JSON header of a signed token with its three
+parts. Public keys are no secrets.
 """
 
 from __future__ import annotations
@@ -29,9 +31,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Line ends as strings of JSON and env files write them: a backslash (or more) and a letter.
 ESCAPED_END = re.compile(r"\\+[nr]")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s,:-]|\\+[nr])*?)-----END \1-----")
-SIGNED = re.compile(r"(?:(?<![A-Za-z0-9_.-])(?!(?<=\\)[nr])|(?<=\\[nr]))([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{10,})(?![A-Za-z0-9_-])")
-BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nr])|(?<=\\[nr]))[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
-LONG_HEX = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nr])|(?<=0[xX]))(?:[0-9A-Fa-f]{2}){32,}(?![A-Za-z0-9])")
+#: Where an encoded key can begin: a DER sequence (0x30 and a length) or the name of the SSH container, with more of the same run behind.
+STARTS64 = re.compile(r"M(?=[A-I][A-Za-z0-9+/_-]{18})|b(?=3BlbnNzaC1rZXktdjEA)")
+STARTS16 = re.compile(r"3(?=0(?:8[123]|[0-7][0-9A-Fa-f])[0-9A-Fa-f]{16})|6(?=[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100)")
+RUN64, RUN16 = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+")
+#: What may stand between the lines of a wrapped key.
+WRAP = re.compile(r"(?:[\r\n]|\\+[nr])+[\x20\t]*")
+SSH_NAME = b"openssh-key-v1\0"
+CHAIN = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
+TOKEN_START = re.compile(r"e(?:yJ|yA|wo|wk|w0)")
+_HEADER = re.compile(rb'\{\s*"[^"]{1,40}"\s*:')
 
 _RUN = np.zeros(256, bool)
 _RUN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_.=-"]] = True
@@ -82,22 +91,52 @@ def is_der_key(data: bytes) -> bool:
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """The private container, or a type name followed by length-prefixed fields that fill the rest exactly."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return _fields(data[15:], most=3) is not None
-    fields = _fields(data)
-    return bool(fields) and len(fields) >= 2 and bool(re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{2,40}", fields[0]))
-
-
-def _fields(data: bytes, most: int | None = None) -> list[bytes] | None:
-    fields, i = [], 0
-    while i < len(data) and (most is None or len(fields) < most):
-        size = int.from_bytes(data[i : i + 4], "big")
-        if i + 4 + size > len(data):
-            return None
-        fields.append(data[i + 4 : i + 4 + size])
+    """A private key in SSH's own container."""
+    return data.startswith(SSH_NAME) and ssh_size(data) == len(data)
+
+
+def ssh_size(data: bytes) -> int | None:
+    """How long the container at the start of `data` is: its name; cipher, key derivation and its options; the number of keys,
+    the public ones and the private part. None if a field runs over the end."""
+    i = len(SSH_NAME)
+
+    def skip(i: int) -> int:
+        return i + 4 + int.from_bytes(data[i : i + 4], "big") if i + 4 <= len(data) else len(data) + 1
+
+    for _ in range(3):
+        i = skip(i)
+    keys = int.from_bytes(data[i : i + 4], "big")
+    if not 1 <= keys <= 64 or i + 4 > len(data):
+        return None
+    i += 4
+    for _ in range(keys + 1):
+        i = skip(i)
+    return i if i <= len(data) and i > len(SSH_NAME) + 24 else None
+
+
+def _ssh_begins(head: bytes) -> bool:
+    """Whether the names of cipher and key derivation after the container's name are short, as all of them are."""
+    i = len(SSH_NAME)
+    for _ in range(2):
+        size = int.from_bytes(head[i : i + 4], "big")
+        if size > 64:
+            return False
         i += 4 + size
-    return fields if most is None or len(fields) == most else None
+        if i + 4 > len(head):
+            break
+    return True
+
+
+def der_size(head: bytes) -> int | None:
+    """How long the DER sequence is that begins with these bytes, if it can be a key: its first item is a version or a sequence."""
+    if len(head) < 7 or head[0] != 0x30:
+        return None
+    width = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if width > 3:
+        return None
+    size = int.from_bytes(head[2 : 2 + width], "big") if width else head[1]
+    first = head[2 + width : 5 + width]
+    return 2 + width + size if first[:1] == b"\x30" or first in (b"\x02\x01\x00", b"\x02\x01\x01") else None
 
 
 def decode_base64(text: str) -> bytes | None:
@@ -108,13 +147,16 @@ def decode_base64(text: str) -> bytes | None:
         return None
 
 
-def is_signed_token(header: str, payload: str) -> bool:
-    """A JSON object with a signing algorithm, and a payload that is a JSON value or encoded bytes."""
-    data = decode_base64(header)
-    if not data or not data.startswith(b"{"):
+def is_signed_token(header: str, payload: str, signature: str, at: int = 0) -> bool:
+    """A JSON object with a signing algorithm (in `header` from `at` on), then encoded bytes twice."""
+    if len(header) - at < 10 or len(payload) < 2 or len(signature) < 10:
         return False
+    start = decode_base64(header[at : at + 64])  # most of what looks like a header fails here, before all of it is decoded
+    if not start or not _HEADER.match(start):
+        return False
+    data = decode_base64(header[at:])
     try:
-        found = json.loads(data)
+        found = json.loads(data) if data else None
     except (ValueError, RecursionError):
         return False
     return isinstance(found, dict) and isinstance(found.get("alg"), str) and bool(found["alg"]) and decode_base64(payload) is not None
@@ -130,9 +172,68 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+def _gather(text: str, at: int, run: re.Pattern, wanted: int) -> tuple[str, list[tuple[int, int]]]:
+    """Up to `wanted` characters of a run from a place on, over line ends, and the stretches of the text that they come from."""
+    parts, spans, size = [], [], 0
+    while size < wanted and (m := run.match(text, at, at + wanted - size)):
+        stop = m.end()
+        parts.append(text[at:stop])
+        spans.append((at, stop))
+        size += stop - at
+        wrap = WRAP.match(text, stop) if size < wanted else None
+        if not wrap:
+            break
+        at = wrap.end()
+    return "".join(parts), spans
+
+
+def _keys(text: str, starts: re.Pattern, run: re.Pattern, decode, unit: tuple[int, int], found: list[tuple[int, int, int]], inside: list[tuple[int, int]]) -> None:
+    """Adds the keys that begin where `starts` matches, leftmost first and without overlaps. `unit`: characters for so many bytes."""
+    characters, octets = unit
+    free = 0
+    for m in starts.finditer(text):
+        at = m.start()
+        if at < free or any(a <= at < b for a, b in inside):
+            continue
+        ssh = m[0][0] in "b6"
+        if ssh:
+            if not _ssh_begins(decode(_gather(text, at, run, 48 * characters // octets)[0]) or b""):
+                continue
+            wanted = len(text) - at
+        else:
+            head = decode(_gather(text, at, run, 9 * characters // octets)[0])
+            size = der_size(head) if head else None
+            if size is None:
+                continue
+            wanted = -(-size * characters // octets)
+        own, spans = _gather(text, at, run, wanted)
+        if ssh:
+            data = decode(own[: len(own) - (len(own) % characters == 1)])
+            size = ssh_size(data) if data else None
+            if size is None:
+                continue
+            own, spans = _gather(text, at, run, -(-size * characters // octets))
+        elif len(own) < wanted:
+            continue
+        data = decode(own)
+        if not data or len(data) < size:
+            continue
+        kind = 4 if is_der_key(data[:size]) else 5 if is_ssh_key(data[:size]) else None
+        if kind is not None:
+            stop = spans[-1][1]
+            if characters == 4:
+                stop += len(re.match("={0,2}", text[stop : stop + 2])[0])
+            found.append((at, kind, stop))
+            free = stop
+
+
+def _hex_bytes(text: str) -> bytes:
+    return bytes.fromhex(text[: len(text) // 2 * 2])
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, stop) of encoded keys and tokens whose structure holds."""
-    found = []
+    """(start, kind, stop) of encoded keys and tokens whose structure holds. Lines of a wrapped key have 20 characters at least (but the last)."""
+    found: list[tuple[int, int, int]] = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
             lines = ESCAPED_END.sub("\n", m[2])
@@ -140,17 +241,18 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             if body and ("ENCRYPTED" in m[1] or "Proc-Type" in m[2] or is_der_key(body) or is_ssh_key(body)):
                 found.append((m.start(), 3, m.end()))
     inside = [(a, b) for a, _, b in found]
-    for m in BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in inside):
-            continue
-        data = decode_base64(m[0])
-        if data:
-            found += [(m.start(), kind, m.end()) for kind, test in ((4, is_der_key), (5, is_ssh_key)) if test(data)]
-    for m in LONG_HEX.finditer(text):
-        data = bytes.fromhex(m[0])
-        found += [(m.start(), kind, m.end()) for kind, test in ((4, is_der_key), (5, is_ssh_key)) if test(data)]
+    _keys(text, STARTS64, RUN64, decode_base64, (4, 3), found, inside)
+    _keys(text, STARTS16, RUN16, _hex_bytes, (2, 1), found, inside)
     if "." in text:
-        found += [(m.start(), 6, m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2])]
+        for m in CHAIN.finditer(text):
+            parts, at, k = m[0].split("."), m.start(), 0
+            while k + 2 < len(parts):
+                start = next((x.start() for x in TOKEN_START.finditer(parts[k]) if is_signed_token(parts[k], parts[k + 1], parts[k + 2], x.start())), None)
+                width = 3 if start is not None else 1
+                if start is not None:
+                    found.append((at + start, 6, at + sum(map(len, parts[k : k + 3])) + 2))
+                at += sum(map(len, parts[k : k + width])) + width
+                k += width
     return found
 
 
