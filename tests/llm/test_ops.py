@@ -371,11 +371,80 @@ PAGES = {
 }
 
 
+LONG = "This is a sentence of the text that goes on for a while, with words and more words, until it stops."
+MENU = "".join(f"<li><a href=/{i}>Item {i}</a>" for i in range(9))
+PAGES |= {
+    f'<div class="share-price-analysis"><h1>T</h1><p>{LONG}</p></div><footer>x</footer>': f"T\n\n{LONG}",
+    f'<body><div class="share-price-analysis"><p>{LONG}</p></div><div class="ad">Buy</div></body>': LONG,
+    f'<h1>T</h1><div class="related-share"><p>{LONG}</p></div>': f"T\n\n{LONG}",
+    f'<article class="article hidden-gems"><p>{LONG}</p></article>': LONG,
+    "<p data-x=it's>Hello there</p>": "Hello there",
+    f"<div><ul>{MENU}</ul></div><div><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div><div>All rights kept.</div>": f"Title\n\n{LONG}\n\n{LONG}",
+    f"<div><div><p>{LONG}</p><p>{LONG}</p><ul>{MENU}</ul><p>{LONG}</p></div></div>": "\n\n".join([LONG] * 3),
+    f"<div><section><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section><section><h2>B</h2><p>{LONG}</p></section></div><div>{MENU}</div>": "\n\n".join([LONG] * 3 + ["B", LONG]),
+    f"<article><a href=/1>Teaser one</a></article><article><a href=/2>Teaser two</a></article><div><p>{LONG}</p><p>{LONG}</p></div>": f"{LONG}\n\n{LONG}",
+    f"<main><article><p>{LONG}</p></article><section id=comments><article><p>{LONG}</p><p>{LONG}</p></article></section></main>": LONG,
+    f"<div class=userComments><p>{LONG} {LONG}</p></div><div><p>{LONG}</p></div>": LONG,
+}
+
+
 @pytest.mark.parametrize("page", list(PAGES))
 def test_main_text(page):
     assert html_text.extract_text(page) == PAGES[page]
 
 
+def test_densities_decide(monkeypatch):
+    """With densities dealt anew among nodes, the text of pages without an article element is another."""
+    r, real = random.Random(4), html_text.composite
+    pages = [p for p in PAGES if "<article" not in p and PAGES[p].count(LONG) > 1]
+    assert len(pages) >= 3
+    seen = []
+    monkeypatch.setattr(html_text, "composite", lambda *a: seen.append(real(*a)) or seen[-1])
+    for p in pages:
+        html_text.extract_text(p)
+    monkeypatch.setattr(html_text, "composite", lambda *a: r.choice(seen))
+    assert all(any(html_text.extract_text(p) != PAGES[p] for _ in range(20)) for p in pages)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.recursive(st.sampled_from(["some words", "x"]), lambda c: st.tuples(st.sampled_from(["div", "p", "a", "b"]), st.lists(c, max_size=4)), max_leaves=12))
+def test_composite_density_by_hand(shape):
+    """Against plain recursion over whole subtrees."""
+    markup = lambda x: x if isinstance(x, str) else f"<{x[0]}>{''.join(map(markup, x[1]))}</{x[0]}>"
+    root = html_text.tree(f"<body>{markup(('div', [shape]))}</body>")
+    body = root.nodes[0]
+    nodes = html_text.weigh(body)
+
+    def text(n):
+        return "".join(c if isinstance(c, str) else text(c) for c in n.children).replace(" ", "")
+
+    def links(n):
+        return [n] if n.name == "a" else [x for c in n.nodes for x in links(c)]
+
+    def all_below(n):
+        return [x for c in n.nodes for x in (c, *all_below(c))]
+
+    share = sum(len(text(a)) for a in links(body)) / max(1, len(text(body)))
+    for n in nodes:
+        c, t = len(text(n)), len(all_below(n)) or 1
+        lc, lt = sum(len(text(a)) for a in links(n)), sum(x.name == "a" for x in (n, *all_below(n)))
+        want = 0.0
+        if c:
+            inner, base = c / max(1, lc) * t / max(1, lt), c * lc / max(1, c - lc) + share * c + np.e
+            want = c / t * max(0.0, np.log(inner)) / max(np.log(np.log(base)), 1.0)
+        assert n.density == pytest.approx(want)
+        assert n.sum == pytest.approx(sum(x.density for x in n.nodes))
+
+
+def test_pages_take_linear_time():
+    import time
+
+    for make in (lambda k: "<div>" * 400 + "</x>" * k + "t", lambda k: "<a " * k, lambda k: '<p x="' * k, lambda k: "<p><button>" + "<ul>" * k, lambda k: "<span>" * k + "<p>x" * k, lambda k: "<!--" * k, lambda k: "<" * k):
+        began = time.perf_counter()
+        html_text.extract_text(make(30_000))
+        assert time.perf_counter() - began < 20
+
+
 def test_pages(spark, tiny):
     import html
 
