@@ -1,10 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Every language gets a character model of order four. Texts are letters in lower case, with one boundary sign for
-everything else; four characters of twelve bits make one exact key. Only the highest order is counted over the corpus:
+everything else; four characters of sixteen bits make one exact key (a letter beyond the first 65,536 code points is two characters,
+as in UTF-16). Only the highest order is counted over the corpus:
 the lower orders of Kneser-Ney are numbers of distinct left neighbours, which the distinct highest keys give. Scoring
 looks every position up in sorted hash arrays, adds the log probabilities, and takes the language of the lowest cross-entropy
-per character. Confidence and rejection are calibrated on training documents.
+per character. Confidence and rejection are calibrated on training documents that a first model hasn't seen.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import U64, durable, mix64
+from logloom.llm.common import U64, bound_batches, durable, mix64, over_column
 
 ORDER = 4
-_BITS = U64(12)
-_VOCABULARY = 4095.0
+WIDTH = 16
+_BITS = U64(WIDTH)
+_VOCABULARY = 65536.0
 UNDETERMINED = "und"
 
 
@@ -28,7 +30,8 @@ UNDETERMINED = "und"
 class Params:
     """`broadcast_cells`: distinct keys times languages of a model that tasks hold in memory; a larger one stays in tables and is
     joined with the keys of the texts. Both have every key and give the same scores. `max_languages`: more is an error.
-    `calibration`: confidence and rejection are set on about so many training documents, dealt by hash.
+    `calibration`: confidence and rejection are set on about so many distinct training texts, dealt by hash (a tenth at most), under a
+    model of the others.
     `strictness`: a best cross-entropy so many deviations above its language's mean is rejected.
     """
 
@@ -38,18 +41,21 @@ class Params:
     strictness: float = 6.0
 
 
-_alphabet: list[np.ndarray] = []
+_letters: list[np.ndarray] = []
 
 
 def _codes(text: str) -> np.ndarray:
-    """Characters as numbers: 0 for runs of other characters than letters, else 1 to 4094; with a boundary at either end."""
-    if not _alphabet:
-        table = np.zeros(0x110000, np.uint16)
-        letters = np.array([c for c in range(0x110000) if chr(c).isalpha()])
-        table[letters] = 1 + letters % 4094
-        _alphabet.append(table)
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _alphabet[0][points]
+    """Characters as numbers: UTF-16 units of letters in lower case, 0 for runs of others; with a boundary at either end."""
+    if not _letters:
+        _letters.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    codes = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), np.uint16)
+    letter = _letters[0][codes]
+    high = np.flatnonzero((codes[:-1] & 0xFC00) == 0xD800)
+    high = high[(codes[high + 1] & 0xFC00) == 0xDC00]
+    if len(high):
+        point = 0x10000 + ((codes[high].astype(np.int64) & 0x3FF) << 10) + (codes[high + 1].astype(np.int64) & 0x3FF)
+        letter[high] = letter[high + 1] = _letters[0][point]
+    codes = np.where(letter, codes, np.uint16(0))
     kept = np.ones(len(codes), bool)
     kept[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
     return codes[kept]
@@ -81,7 +87,7 @@ def _pack(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     line = np.concatenate(parts).astype(U64)
     key = line.copy()
     for k in range(1, ORDER):
-        key[k:] |= line[:-k] << U64(12 * k)
+        key[k:] |= line[:-k] << U64(WIDTH * k)
     inside = np.ones(len(line), bool)
     starts = np.concatenate(([0], np.cumsum(sizes[sizes > 0] + ORDER - 1)[:-1]))
     for k in range(ORDER - 1):
@@ -90,22 +96,24 @@ def _pack(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_keys(docs: DataFrame) -> DataFrame:
-    """lang, gram, n: how often each key occurs in the texts of each language."""
+    """lang, gram, n, fitted: how often each key occurs in the texts of each language, and in those that aren't `held`."""
 
     def work(batches):
-        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        found: dict[tuple[str, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
         for pdf in batches:
-            for lang, own in pdf.groupby("lang")["text"]:
-                parts = found.setdefault(lang, [])
+            for which, own in pdf.groupby(["lang", "held"])["text"]:
+                parts = found.setdefault(which, [])
                 parts += [np.unique(key, return_counts=True) for _, key, _ in keys(own) if len(key)]
                 if len(parts) > 24:
-                    found[lang] = [_summed(parts)]
-        for lang, parts in found.items():
+                    found[which] = [_summed(parts)]
+        for (lang, held), parts in found.items():
             if parts:
                 key, n = _summed(parts)
-                yield pd.DataFrame({"lang": lang, "gram": key.view(np.int64), "n": n})
+                yield pd.DataFrame({"lang": lang, "gram": key.view(np.int64), "n": n, "fitted": n * (not held)})
 
-    return docs.select("lang", "text").mapInPandas(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    bound_batches(docs.sparkSession)
+    counted = docs.select("lang", "text", "held").mapInPandas(work, "lang string, gram long, n long, fitted long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("fitted").alias("fitted"))
 
 
 def _summed(parts) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +157,7 @@ def kneser_ney(key: np.ndarray, n: np.ndarray):
     grams, counts = [None] * (ORDER + 1), [None] * (ORDER + 1)
     grams[ORDER], counts[ORDER] = key, n.astype(np.float64)
     for k in range(ORDER - 1, 0, -1):
-        mask = U64((1 << 12 * k) - 1)
+        mask = U64((1 << WIDTH * k) - 1)
         grams[k], c = np.unique(grams[k + 1] & mask, return_counts=True)  # distinct left neighbours
         counts[k] = c.astype(np.float64)
     levels = []
@@ -164,7 +172,7 @@ def kneser_ney(key: np.ndarray, n: np.ndarray):
         if k == 1:
             below = np.full(len(g), 1 / _VOCABULARY)
         else:
-            at = np.searchsorted(grams[k - 1], g & U64((1 << 12 * (k - 1)) - 1))
+            at = np.searchsorted(grams[k - 1], g & U64((1 << WIDTH * (k - 1)) - 1))
             below = np.exp(lower[at])
         lower = np.log((c - discount) / total[back] + left[back] * below)
         levels.append((g, lower, context, np.log(left)))
@@ -193,6 +201,14 @@ class Judge:
             if len(own) >= 5:
                 self.mean[j], self.deviation[j] = own.mean(), max(own.std(), 0.05)
 
+    def take(self, other: Judge) -> None:
+        """The calibration of another judge, by language."""
+        self.sharpness = other.sharpness
+        for j, lang in enumerate(self.languages):
+            if lang in other.languages:
+                i = other.languages.index(lang)
+                self.mean[j], self.deviation[j] = other.mean[i], other.deviation[i]
+
     def confidence(self, size: np.ndarray, entropy: np.ndarray, sharpness: float | None = None) -> np.ndarray:
         scale = np.minimum(size, self.sharpness if sharpness is None else sharpness)[:, None]
         z = -(entropy - entropy.min(axis=1, keepdims=True)) * scale
@@ -227,7 +243,7 @@ class Model(Judge):
         value = np.where((at >= 0)[:, None], left[at], 0.0)
         if k == 0:
             return value - np.log(_VOCABULARY)
-        return value + self._log(gram & U64((1 << 12 * k) - 1), k - 1)
+        return value + self._log(gram & U64((1 << WIDTH * k) - 1), k - 1)
 
     def _log(self, key: np.ndarray, k: int) -> np.ndarray:
         table, value, contexts, left = self.levels[k]
@@ -254,12 +270,11 @@ class Model(Judge):
     def scored(self, rows: DataFrame, column: str) -> DataFrame:
         """`column`, size, entropy: the keys of each row's text and its cross-entropy by language."""
 
-        def work(batches):
-            for pdf in batches:
-                size, entropy = self.entropies(pdf["text"])
-                yield pd.DataFrame({column: pdf[column].array, "size": size, "entropy": list(entropy)})
+        def work(texts):
+            size, entropy = self.entropies(texts)
+            return size, list(entropy)
 
-        return rows.select(column, "text").mapInPandas(work, f"{column} {rows.schema[column].dataType.simpleString()}, size long, entropy array<double>")
+        return over_column(rows.select(column, "text"), "text", work, "size long, entropy array<double>")
 
 
 class JoinedModel(Judge):
@@ -271,21 +286,21 @@ class JoinedModel(Judge):
         self.levels: list[tuple[DataFrame, DataFrame]] = []
         grams = [counts.select("lang", "gram", "n")]
         for k in range(ORDER - 1, 0, -1):
-            low = F.col("gram").bitwiseAND(F.lit((1 << 12 * k) - 1))
+            low = F.col("gram").bitwiseAND(F.lit((1 << WIDTH * k) - 1))
             grams.insert(0, durable(grams[0].groupBy("lang", low.alias("gram")).agg(F.count("*").alias("n"))))  # distinct left neighbours
         lower = None
         for k, own in enumerate(grams, 1):
             few = own.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
             discount = F.when((F.col("once") > 0) & (F.col("twice") > 0), F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(0.5)
             few = F.broadcast(few.select("lang", discount.alias("discount")))  # a row for each language
-            own = own.withColumn("context", F.shiftright("gram", 12))
+            own = own.withColumn("context", F.shiftrightunsigned("gram", WIDTH))
             contexts = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(few, "lang")
             contexts = contexts.withColumn("left", F.col("discount") * F.col("kinds") / F.col("total"))
             rows = own.join(contexts, ["lang", "context"])
             if k == 1:
                 rows = rows.withColumn("below", F.lit(1 / _VOCABULARY))
             else:
-                low = F.col("gram").bitwiseAND(F.lit((1 << 12 * (k - 1)) - 1))
+                low = F.col("gram").bitwiseAND(F.lit((1 << WIDTH * (k - 1)) - 1))
                 rows = rows.withColumn("low", low).join(lower.select("lang", F.col("gram").alias("low"), F.col("p").alias("below")), ["lang", "low"])
             lower = durable(rows.select("lang", "gram", ((F.col("n") - F.col("discount")) / F.col("total") + F.col("left") * F.col("below")).alias("p")))
             seen = lower.groupBy("gram").agg(self._by_language(F.log("p")).alias("seen"))
@@ -301,9 +316,9 @@ class JoinedModel(Judge):
     def _log(self, keys: DataFrame, k: int) -> DataFrame:
         """gram, log: the log probabilities of distinct keys of order k + 1, by language."""
         seen, rest = self.levels[k]
-        keys = keys.withColumn("context", F.shiftright("gram", 12))
+        keys = keys.withColumn("context", F.shiftrightunsigned("gram", WIDTH))
         if k:
-            low = F.col("gram").bitwiseAND(F.lit((1 << 12 * k) - 1))
+            low = F.col("gram").bitwiseAND(F.lit((1 << WIDTH * k) - 1))
             keys = keys.withColumn("low", low)
             below = self._log(keys.select(F.col("low").alias("gram")).distinct(), k - 1)
             keys = keys.join(below.select(F.col("gram").alias("low"), F.col("log").alias("below")), "low")
@@ -316,17 +331,15 @@ class JoinedModel(Judge):
     def scored(self, rows: DataFrame, column: str) -> DataFrame:
         """As that of `Model`: the distinct keys of each text meet their log probabilities by joins, and sums go back to the rows."""
 
-        def work(batches):
-            for pdf in batches:
-                for first, key, sizes in keys(pdf["text"]):
-                    stops = np.cumsum(sizes)
-                    found = [np.unique(key[b - n : b].view(np.int64), return_counts=True) for n, b in zip(sizes, stops, strict=True)]
-                    own = pdf.iloc[first : first + len(sizes)]
-                    yield pd.DataFrame({"row": own["row"].array, column: own[column].array, "size": sizes, "gram": [g for g, _ in found], "n": [n for _, n in found]})
+        def work(texts):
+            found = []
+            for _, key, sizes in keys(texts):
+                stops = np.cumsum(sizes)
+                found += [(n, *np.unique(key[b - n : b].view(np.int64), return_counts=True)) for n, b in zip(sizes, stops, strict=True)]
+            return list(zip(*found, strict=True))
 
-        kind = rows.schema[column].dataType.simpleString()
         numbered = rows.select(column, "text", F.monotonically_increasing_id().alias("row"))
-        held = durable(numbered.mapInPandas(work, f"row long, {column} {kind}, size long, gram array<long>, n array<long>"))
+        held = durable(over_column(numbered, "text", work, "size long, gram array<long>, n array<long>"))
         each = held.select("row", "size", F.explode(F.arrays_zip("gram", "n")).alias("e")).select("row", "size", "e.gram", "e.n")
         log = self._log(each.select("gram").distinct(), ORDER - 1)
         sums = [(-F.sum(F.col("n") * F.col("log")[j]) / F.first("size")) for j in range(len(self.languages))]
@@ -335,30 +348,42 @@ class JoinedModel(Judge):
         return held.select("row", column, "size").join(entropy, "row", "left").select(column, "size", F.coalesce("entropy", none).alias("entropy"))
 
 
+def _model(languages, counts: DataFrame, small: bool) -> Model | JoinedModel:
+    """A model of lang, gram, n."""
+    if not small:
+        return JoinedModel(languages, counts)
+    rows = counts.toPandas()
+    by = {lang: (own["gram"].to_numpy().view(U64), own["n"].to_numpy()) for lang, own in rows.groupby("lang")}
+    return Model({lang: (gram[o := np.argsort(gram)], n[o]) for lang, (gram, n) in by.items()})
+
+
 def train(docs: DataFrame, p: Params | None = None) -> Model | JoinedModel:
-    """The model of the texts and languages in `docs` (text, lang; others ignored). Rows with a null in either teach nothing."""
+    """The model of the texts and languages in `docs` (text, lang; others ignored). Rows with a null in either teach nothing.
+
+    Texts held for calibration are scored by a model of the others; the model that is returned has the keys of all.
+    """
     p = p or Params()
-    known = docs.where("text is not null and lang is not null").select("text", "lang")
+    known = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    every = max(10, known.count() // p.calibration)
+    known = known.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
     counts = durable(count_keys(known))
     found = [r["lang"] for r in counts.select("lang").distinct().limit(p.max_languages + 1).collect()]
     if len(found) > p.max_languages:
         raise ValueError(f"more than {p.max_languages} languages")
     if not found:
         return Model({})
-    if counts.select("gram").distinct().count() * len(found) <= p.broadcast_cells:
-        every_key = counts.toPandas()
-        model = Model({lang: (own["gram"].to_numpy().view(U64)[o := np.argsort(own["gram"].to_numpy().view(U64))], own["n"].to_numpy()[o]) for lang, own in every_key.groupby("lang")})
-    else:
-        model = JoinedModel(found, counts)
-    every = max(1, known.count() // p.calibration)
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    place = F.when(F.lit(False), F.lit(-1))
-    for j, lang in enumerate(model.languages):
-        place = place.when(F.col("lang") == lang, F.lit(j))
-    known_sample = sample.select(F.coalesce(place, F.lit(-1)).alias("truth"), "text")
-    judged = model.scored(known_sample, "truth").where("size > 0 and truth >= 0").limit(4 * p.calibration).toPandas()
+    small = counts.select("gram").distinct().count() * len(found) <= p.broadcast_cells
+    model = _model(found, counts.select("lang", "gram", "n"), small)
+    seen = counts.where("fitted > 0").select("lang", "gram", F.col("fitted").alias("n"))
+    first = _model([r["lang"] for r in seen.select("lang").distinct().collect()], seen, small)
+    place = F.lit(-1)
+    for j, lang in enumerate(first.languages):
+        place = F.when(F.col("lang") == lang, F.lit(j)).otherwise(place)
+    sample = known.where("held").select(place.alias("truth"), "text").where("truth >= 0").distinct()
+    judged = first.scored(sample, "truth").where("size > 0").toPandas() if first.languages else ()
     if len(judged):
-        model.calibrate(judged["size"].to_numpy(), np.stack(judged["entropy"]), judged["truth"].to_numpy())
+        first.calibrate(judged["size"].to_numpy(), np.stack(judged["entropy"]), judged["truth"].to_numpy())
+        model.take(first)
     return model
 
 
@@ -367,12 +392,12 @@ def predict(docs: DataFrame, model: Model | JoinedModel, p: Params | None = None
 
     Text null or without letters (or a model without languages): `und`, score 0, no cross-entropy, not accepted. Ties go to
     the language first by name. doc_id may be null or repeat; other columns are ignored. accepted is false where the
-    best model explains a text much worse than its own training texts; lang_pred stays the best language.
+    best model explains a text much worse than texts of its language that it had not seen; lang_pred stays the best language.
     """
     p = p or Params()
 
-    def judged(ids, size, entropy) -> pd.DataFrame:
-        out = pd.DataFrame({"doc_id": ids, "lang_pred": UNDETERMINED, "score": 0.0, "cross_entropy": np.nan, "accepted": False})
+    def judged(size: np.ndarray, entropy: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame({"lang_pred": UNDETERMINED, "score": 0.0, "cross_entropy": np.nan, "accepted": False}, index=range(len(size)))
         if model.languages and len(out):
             some = size > 0
             best = entropy.argmin(axis=1)
@@ -383,16 +408,21 @@ def predict(docs: DataFrame, model: Model | JoinedModel, p: Params | None = None
             out.loc[some, "accepted"] = (least <= model.mean[best] + p.strictness * model.deviation[best])[some]
         return out
 
-    def from_texts(batches):
-        for pdf in batches:
-            yield judged(pdf["doc_id"].array, *(model.entropies(pdf["text"]) if model.languages else (None, None)))
+    def from_texts(texts):
+        found = judged(*(model.entropies(texts) if model.languages else (np.zeros(len(texts), np.int64), np.zeros((len(texts), 0)))))
+        found["cross_entropy"] = found["cross_entropy"].astype(object).where(found["cross_entropy"].notna(), None)
+        return [found[c].tolist() for c in found]
 
     def from_scores(batches):
         for pdf in batches:
-            yield judged(pdf["doc_id"].array, pdf["size"].to_numpy(), np.stack(pdf["entropy"]) if len(pdf) else None)
+            if len(pdf):
+                found = judged(pdf["size"].to_numpy(), np.stack(pdf["entropy"]))
+                found.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+                yield found
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean"
+    fields = "lang_pred string, score double, cross_entropy double, accepted boolean"
     if isinstance(model, JoinedModel):
-        return model.scored(rows, "doc_id").mapInPandas(from_scores, schema)
-    return rows.mapInPandas(from_texts, schema)
+        scored = model.scored(rows.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id").mapInPandas(from_scores, f"doc_id string, {fields}")
+        return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return over_column(rows, "text", from_texts, fields)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import bpe, html_text, langid, media, mixing, neardup, quality, secret_scan, token_counts, topk
-from logloom.llm.common import shared_folder, table
+from logloom.llm.common import durable, remove, shared_folder, table
 
 #: Where the ranks of the tokenizer are; the installed package has the file on every machine.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,8 +30,12 @@ def op3_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Target shares of tokens by language; what they leave goes to other languages. Sources and topics are flattened by the default power.
+MIXTURE = mixing.Params(targets={"lang": {"en": 0.35, "de": 0.2, "es": 0.2, "fr": 0.2}}, budget=0.5)
+
+
 def op4_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.decide(table(spark, sf_dir, "documents"))
+    return mixing.decide(table(spark, sf_dir, "documents"), MIXTURE)
 
 
 def op5_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +50,16 @@ def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_delta_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = token_counts.Rollup(spark, f"{shared_folder(spark)}/token-rollups-{uuid.uuid4().hex}")
+    path = f"{shared_folder(spark)}/token-rollups-{uuid.uuid4().hex}"
+    store = token_counts.Rollup(spark, path)
     batches = token_counts.change_log(table(spark, sf_dir, "documents"))
     for k, batch in enumerate(batches):
         store.apply(k, batch)
     for k, batch in enumerate(batches):  # delivered again: adds nothing
         store.apply(k, batch)
-    return store.totals()
+    found = durable(store.totals(), 1)
+    remove(spark, path)
+    return found
 
 
 def op8_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:

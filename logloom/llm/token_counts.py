@@ -28,23 +28,25 @@ def count_tokens(text: Column, tokenizer: str) -> Column:
 
 def deltas(changes: DataFrame) -> DataFrame:
     """Delta totals of a batch of changes: op (insert, delete, revise), source, lang, tokenizer, tokens, and for revisions
-    old_tokenizer and old_tokens.
+    old_tokenizer and old_tokens; also old_source and old_lang, where these columns are there and not null.
 
-    A revision takes the old count from the old version and adds the new one to the new version. Nulls in keys count as
-    `(none)`, null token counts as 0. Another op is an error. Changes cancel out: keys whose sums are 0 are left out.
+    A revision takes the old count from the old version (source, language) and adds the new one to the new. Nulls in keys count as
+    `(none)`, null token counts as 0. Another op is an error. Changes cancel out: keys whose sums are 0 are left out. Other
+    columns are ignored.
     """
-    key = lambda c: F.coalesce(F.col(c), F.lit(NONE)).alias(c)
+    now_at = {c: F.coalesce(F.col(c), F.lit(NONE)) for c in ("source", "lang")}
+    old_at = {c: F.coalesce(F.col(f"old_{c}"), own) if f"old_{c}" in changes.columns else own for c, own in now_at.items()}
     n = F.coalesce(F.col("tokens"), F.lit(0)).cast("long")
     old = F.coalesce(F.col("old_tokens"), F.lit(0)).cast("long")
-    entry = lambda tokenizer, docs, tokens: F.struct(F.coalesce(tokenizer, F.lit(NONE)).alias("tokenizer"), F.lit(docs).cast("long").alias("docs"), tokens.alias("tokens"))
+    entry = lambda at, tokenizer, docs, tokens: F.struct(*(x.alias(c) for c, x in at.items()), F.coalesce(tokenizer, F.lit(NONE)).alias("tokenizer"), F.lit(docs).cast("long").alias("docs"), tokens.alias("tokens"))
     now, before = F.col("tokenizer"), F.col("old_tokenizer")
     entries = (
-        F.when(F.col("op") == "insert", F.array(entry(now, 1, n)))
-        .when(F.col("op") == "delete", F.array(entry(now, -1, -n)))
-        .when(F.col("op") == "revise", F.array(entry(before, -1, -old), entry(now, 1, n)))
+        F.when(F.col("op") == "insert", F.array(entry(now_at, now, 1, n)))
+        .when(F.col("op") == "delete", F.array(entry(now_at, now, -1, -n)))
+        .when(F.col("op") == "revise", F.array(entry(old_at, before, -1, -old), entry(now_at, now, 1, n)))
         .otherwise(F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce(F.col("op"), F.lit("null")))))
     )
-    rows = changes.select(key("source"), key("lang"), F.explode(entries).alias("e")).select("source", "lang", "e.*")
+    rows = changes.select(F.explode(entries).alias("e")).select("e.*")
     return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
 
@@ -80,21 +82,26 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over all committed batches."""
-        names = self.committed()
+        return self._sum(self.committed(), None)
+
+    def _sum(self, names: list[str], upto: int | None) -> DataFrame:
         last = max((int(n[5:]) for n in names if n.startswith("upto-")), default=None)
-        use = [n for n in names if n.startswith("batch-") and (last is None or int(n[6:]) > last)] + ([f"upto-{last}"] if last is not None else [])
+        batches = [int(n[6:]) for n in names if n.startswith("batch-")]
+        use = [f"batch-{b}" for b in batches if (last is None or b > last) and (upto is None or b <= upto)] + ([f"upto-{last}"] if last is not None else [])
         if not use:
             return self.spark.createDataFrame([], DELTA)
         rows = self.spark.read.schema(DELTA).parquet(*(f"{self.path}/{n}" for n in use))
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
     def compact(self, upto: int) -> None:
-        """Folds the batches up to an id into one table. All of them must have been committed in order of id."""
+        """Folds the batches up to an id into one table; later ones stay as they are. Ids count from 0 without gaps: while a batch up to
+        `upto` is missing nothing is folded (an error), so that it can still come in."""
         names = self.committed()
-        later = [n for n in names if n.startswith("batch-") and int(n[6:]) > upto]
-        if later:
-            raise ValueError(f"batches after {upto} are committed: {later}")
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/upto-{upto}")
+        missing = [b for b in range(upto + 1) if not self._covered(b, names)]
+        if missing:
+            raise ValueError(f"batches not committed yet: {missing[:20]}")
+        if f"upto-{upto}" not in names:
+            self._sum(names, upto).write.mode("overwrite").parquet(f"{self.path}/upto-{upto}")
 
 
 def change_log(docs: DataFrame) -> list[DataFrame]:

@@ -93,6 +93,36 @@ def test_quality_separates_held_out_junk(spark, tiny):
     assert np.mean(good) > 0.9 and np.mean(bad) < 0.35
 
 
+def test_quality_against_brute_force(spark):
+    """Counts, ratios, weights, keys and the choice again in plain Python, from the n-grams of `features`."""
+    texts = [prose(i, 3 + 11 * i % 90) for i in range(60)] + ["!!! ### " * 9, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 60, 2)] + [(60, 0, 0)], "doc_id long, quality int, toxic int")
+    p = quality.Params(buckets=64, length=30)
+    grams = {i: quality.features([(t or "").encode()], p.buckets)[0].tolist() for i, t in enumerate(texts)}
+    good = {i for i in range(0, 60, 2) if i % 3 > 0}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        target.update(g if i in good else [])
+    chance = lambda c, b: (c[b] + 1) / (sum(c.values()) + p.buckets)
+    ratio = {b: np.rint(np.log(chance(target, b) / chance(raw, b)) * 2**20) / 2**20 for b in range(p.buckets)}
+    weight = {i: sum(ratio[b] for b in g) * min(1, p.length / len(g)) if g else -np.inf for i, g in grams.items()}
+    noise = {r["i"]: r["g"] for r in spark.range(len(texts)).select(F.col("id").alias("i"), quality.gumbel(F.col("id"), p.seed).alias("g")).collect()}
+    judged = [(weight[i], i in good) for i in [*range(0, 60, 2), 60]]
+    values = sorted({w for w, _ in judged})
+    cuts = [values[0] - 1] + [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
+    cut = max(cuts, key=lambda c: sum((w > c) == g for w, g in judged))
+    k = sum(w > cut for w in weight.values())
+    keys = {i: weight[i] + noise[i] for i in weight}
+    chosen = set(sorted(keys, key=lambda i: -keys[i])[:k])
+    found = quality.classify(docs, labels, p).collect()
+    for r in found:
+        i = r["doc_id"]
+        assert r["n_grams"] == len(grams[i]) and r["log_weight"] == pytest.approx(weight[i], abs=1e-5) and r["sample_key"] == pytest.approx(keys[i], abs=1e-5)
+    assert {r["doc_id"] for r in found if r["kept"]} == chosen
+
+
 def test_quality_edge_cases(spark):
     docs = docs_of(spark, [prose(i, 50) for i in range(20)] + ["!!! ### " * 30] * 3)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(15)] + [(20, 0, 0), (21, 0, 0), (None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
@@ -211,21 +241,83 @@ def test_raking_meets_targets_and_budget(spark):
     r = random.Random(4)
     docs = spark.createDataFrame([(i, prose(i, r.randint(5, 60)), r.choice(["en", "de", None]), r.choice(["a", "a", "a", "b", None]), 0) for i in range(800)], DOCS)
     p = mixing.Params(targets={"source": {"a": 1, "b": 1, "(none)": 2}}, budget=0.5, topics=3)
-    cells = mixing.described(docs, p).groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    cells = mixing.described(docs, p, mixing.fit_topics(docs, p)).groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     raked = mixing.rake(cells, p).toPandas()
     assert raked.groupby("source")["weight"].sum().round(6).to_dict() == {"a": 0.25, "b": 0.25, "(none)": 0.5}
     one = mixing.Params(targets=p.targets, budget=0.5, topics=3, driver_cells=0, rounds=12)
     spread = mixing.rake(cells, one).toPandas().set_index(list(mixing.DIMENSIONS))["weight"]
     assert np.allclose(raked.set_index(list(mixing.DIMENSIONS))["weight"].loc[spread.index], spread, atol=1e-6)
     decided = mixing.decide(docs, p).toPandas()
-    assert abs((decided["tokens"] * decided["p"]).sum() / decided["tokens"].sum() - 0.5) < 1e-6
+    assert abs((decided["tokens"] * decided["p"]).sum() / decided["tokens"].sum() - 0.5) < 1e-6 and decided["converged"].all()
     assert sorted(mixing.sample(docs, p).toPandas()["doc_id"]) == sorted(decided.loc[decided["kept"], "doc_id"])
 
 
+def test_mixing_against_brute_force(spark):
+    """Given topics: raking, scaling and the choice again in plain Python."""
+    r = random.Random(6)
+    data = [(i, "w " * r.randint(0, 9), r.choice(["en", "de"]), r.choice("aab"), 0, r.choice(["x", "y", None])) for i in range(300)]
+    docs = spark.createDataFrame(data, DOCS + ", subject string")
+    p = mixing.Params(targets={"lang": {"en": 0.3}}, temper=0.5, budget=0.4, topic_column="subject")
+    cell = {i: (s, lang, t or "(none)") for i, _, lang, s, _, t in data}
+    words = {i: len(text.split()) for i, text, *_ in data}
+    have = collections.Counter()
+    for i, c in cell.items():
+        have[c] += words[i]
+    weight = {c: float(n) for c, n in have.items()}
+    wants = []
+    for d in range(3):
+        sums = collections.Counter()
+        for c, n in have.items():
+            sums[c[d]] += n
+        if d == 1:
+            wants.append({"en": 0.3, "de": 0.7})
+        else:
+            whole = sum(n**0.5 for n in sums.values())
+            wants.append({v: n**0.5 / whole for v, n in sums.items()})
+    for _ in range(60):
+        for d in range(3):
+            sums = collections.Counter()
+            for c, w in weight.items():
+                sums[c[d]] += w
+            weight = {c: w * wants[d][c[d]] / sums[c[d]] for c, w in weight.items()}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        scale = (low + high) / 2
+        total = sum(n * min(1.0, scale * weight[c] / n) for c, n in have.items())
+        low, high = (scale, high) if total < 0.4 * sum(have.values()) else (low, scale)
+    hashed = {r["i"]: r["u"] for r in spark.range(300).select(F.col("id").alias("i"), mixing.uniform(F.col("id"), p.seed).alias("u")).collect()}
+    found = mixing.decide(docs, p).collect()
+    assert len(found) == 300
+    for row in found:
+        i = row["doc_id"]
+        chance = min(1.0, scale * weight[cell[i]] / have[cell[i]])
+        assert (row["source"], row["lang"], row["topic"]) == cell[i] and row["tokens"] == words[i] and row["converged"]
+        assert row["p"] == pytest.approx(chance, abs=1e-6) and (row["kept"] == (hashed[i] < chance) or abs(hashed[i] - chance) < 1e-5)
+
+
+def test_topics_follow_the_words(spark):
+    r = random.Random(2)
+    sets = [[f"{k}word{i}" for i in range(40)] for k in "abc"]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(sets[i % 3], k=30)) + " the and of", "en", "s", 0) for i in range(240)], DOCS)
+    p = mixing.Params(topics=3, seed_docs=40)
+    found = {r["doc_id"]: r["topic"] for r in mixing.decide(docs, p).collect()}
+    assert len({(i % 3, t) for i, t in found.items()}) == 3
+    again = {r["doc_id"]: r["topic"] for r in mixing.decide(docs.repartition(7), p).collect()}
+    assert again == found
+
+
+def test_raking_says_where_it_cannot_converge(spark):
+    rows = [(0, "a b c", "en", "x", 0, "t"), (1, "d e f", "de", "y", 0, "t")]  # source x has no German: its share is that of English
+    docs = spark.createDataFrame(rows, DOCS + ", subject string")
+    p = mixing.Params(targets={"source": {"x": 0.2, "y": 0.8}, "lang": {"en": 0.7, "de": 0.3}}, topic_column="subject")
+    assert {r["converged"] for r in mixing.decide(docs, p).collect()} == {False}
+
+
 def test_mixing_edge_cases(spark):
-    docs = docs_of(spark, [prose(i, 9) for i in range(12)])
+    docs = docs_of(spark, [prose(i, 9) for i in range(12)]).withColumn("mix_source", F.lit("own")).withColumn("mix_p", F.lit(7))
     assert mixing.decide(docs).count() == docs.count()
-    assert mixing.sample(docs).columns == docs.columns
+    kept = mixing.sample(docs)
+    assert kept.columns == docs.columns and {(r["mix_source"], r["mix_p"]) for r in kept.collect()} == {("own", 7)}
     assert mixing.decide(docs.limit(0)).count() == 0
 
 
@@ -235,11 +327,19 @@ def test_mixing_edge_cases(spark):
 def test_kneser_ney_sums_to_one():
     key = np.unique(np.concatenate([k for _, k, _ in langid.keys(["the cat and the hat that sat", "then again"])]))
     model = langid.Model({"x": (key, np.ones(len(key), np.int64))})
-    context = key[7] >> np.uint64(12)
-    total = np.exp(model._log((context << np.uint64(12)) + np.arange(4095, dtype=np.uint64), 3)[:, 0]).sum()
+    context = key[7] >> np.uint64(16)
+    total = np.exp(model._log((context << np.uint64(16)) + np.arange(65536, dtype=np.uint64), 3)[:, 0]).sum()
     assert abs(total - 1) < 1e-3
 
 
+def test_letters_are_not_folded():
+    line = "ab\u0abcdé 中\U00020000x\U0001f600 \ud800y"
+    units = langid._codes(line).tolist()
+    assert units == [ord("a"), ord("b"), 0x0ABC if chr(0x0ABC).isalpha() else 0, ord("d"), ord("é"), 0, ord("中"), 0xD840, 0xDC00, ord("x"), 0, ord("y")]
+    letters = {c for c in range(0x110000) if chr(c).isalpha() and chr(c).lower() == chr(c)}
+    assert len({tuple(langid._codes(chr(c))) for c in letters}) == len(letters)
+
+
 def test_language_of_held_out_documents(spark, tiny):
     found = QUERIES["op5_kneser_ney_langid"](spark, tiny).join(table(spark, tiny, "documents").select("doc_id", "lang"), "doc_id").toPandas()
     assert {r for r in found["held_out"]} == {True, False}
@@ -346,6 +446,23 @@ def test_rollup_is_idempotent_and_compacts(spark, tmp_path):
     assert store.apply(2, one.limit(0)) and read() == want
 
 
+def test_late_batches_are_not_lost(spark, tmp_path):
+    log = "op string, source string, lang string, tokenizer string, tokens long, old_tokenizer string, old_tokens long, old_source string, old_lang string, docs string"
+    row = lambda op, source, n, old=None: (op, source, "en", "v1", n, "v1", old, "a" if old else None, None, "clash")
+    store = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    store.apply(0, spark.createDataFrame([row("insert", "a", 5), row("insert", "a", 6)], log))
+    store.apply(2, spark.createDataFrame([row("revise", "b", 7, 6)], log))
+    with pytest.raises(ValueError, match=r"\[1\]"):
+        store.compact(2)
+    store.compact(0)
+    assert store.apply(1, spark.createDataFrame([row("insert", None, 3)], log))
+    want = {("a", 1, 5), ("b", 1, 7), ("(none)", 1, 3)}
+    read = lambda: {(r["source"], r["docs"], r["tokens"]) for r in store.totals().collect()}
+    assert read() == want
+    store.compact(2)
+    assert read() == want and not store.apply(1, spark.createDataFrame([row("insert", "a", 1)], log)) and read() == want
+
+
 def test_unknown_change_is_an_error(spark, tmp_path):
     log = "op string, source string, lang string, tokenizer string, tokens long, old_tokenizer string, old_tokens long"
     with pytest.raises(Exception, match="unknown change"):
