@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import U64, bound_batches, chunks, durable, fresh, over_column, word_hashes
+from logloom.llm.common import U64, bound_batches, chunks, drawn, durable, fresh, over_column, word_hashes
 
 DIMENSIONS = ("source", "lang", "topic")
 UNKNOWN = "(none)"
@@ -61,19 +61,19 @@ def _buckets(texts, p: Params):
 def _weights(counts: np.ndarray) -> np.ndarray:
     """Log probabilities by topic and bucket, in whole units."""
     smooth = counts + 1.0
-    return np.rint(np.log(smooth / smooth.sum(axis=1, keepdims=True)) * _UNIT).astype(np.int64)
+    return np.rint(np.log(smooth / smooth.sum(axis=1, keepdims=True)) * _UNIT).astype(np.int32)
 
 
 def assign(texts, weights: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """The topic under which each text is likeliest (the first of equals; -1 without words), and its number of words."""
-    best, words = np.full(len(texts), -1, np.int64), np.zeros(len(texts), np.int64)
+    best, words, rows = np.full(len(texts), -1, np.int64), np.zeros(len(texts), np.int64), np.ascontiguousarray(weights.T)
     for first, bucket, starts in _buckets(texts, p):
         n = np.diff(starts)
         at = first + np.arange(len(n))
         words[at] = n
         some = np.flatnonzero(n)
         if len(some):
-            best[at[some]] = np.add.reduceat(weights.T[bucket], starts[some], axis=0).argmax(axis=1)
+            best[at[some]] = np.add.reduceat(rows[bucket], starts[some], axis=0, dtype=np.int64).argmax(axis=1)
     return best, words
 
 
@@ -87,8 +87,11 @@ def fit_topics(docs: DataFrame, p: Params) -> np.ndarray:
             out += [np.bincount(bucket[a:b], minlength=p.buckets) for a, b in zip(starts[:-1], starts[1:], strict=True)]
         return [out]
 
-    drawn = texts.where("text is not null").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(p.seed_docs)
-    seeds = over_column(drawn, "text", histogram, "h array<long>").toPandas()  # a row of whole numbers for each of a few documents
+    # texts that repeat count once; hashes alone make the draw
+    hashed = texts.where("text is not null").withColumn("hash", F.xxhash64("text"))
+    few = drawn(hashed.select("hash"), F.col("hash"), 4 * p.seed_docs).distinct().orderBy(F.xxhash64(F.lit(29), "hash"), "hash").limit(p.seed_docs)
+    seeds = over_column(hashed.join(F.broadcast(few), "hash").select("hash", "text"), "text", histogram, "h array<long>")
+    seeds = seeds.groupBy("hash").agg(F.first("h").alias("h")).orderBy("hash").toPandas()  # a row of whole numbers for each of a few documents
     weights = _weights(_seeded(np.stack(seeds["h"]).astype(np.float64) if len(seeds) else np.zeros((0, p.buckets)), p))
 
     def count(batches):

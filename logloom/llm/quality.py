@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import U64, bound_batches, chunks, durable, fresh, mix64, over_column, span_hashes
+from logloom.llm.common import U64, bound_batches, chunks, drawn, durable, fresh, mix64, over_column, span_hashes
 
 _CLASS = np.full(256, 2, np.uint8)  # other characters
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -74,7 +74,7 @@ def features(encoded: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray
 def labelled_sample(labels: DataFrame, p: Params) -> DataFrame:
     """doc_id, quality of at most `max_labelled` documents, conflicting labels counted as bad."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_labelled)
+    return drawn(one, F.col("doc_id"), p.max_labelled).orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(p.max_labelled)
 
 
 def fit(docs: DataFrame, good: DataFrame, p: Params) -> np.ndarray:

@@ -4,13 +4,14 @@ Inner products become distances: a candidate x gets one more component, sqrt(M -
 a query gets 0 there, and then |q - x|^2 = |q|^2 + M - 2 q.x, so that the nearest are those with the highest product. Distances
 prune with a slack for rounding; scores are exact integers.
 
-Candidates are dealt to bounded trees by the nearest of a few pivots, crowded pivots to several trees. A tree is a file of
-pages; a page holds entries with their vector (routing object), covering radius and distance to the page's parent object. Search
-is best first: a page is opened in the order of the least distance that anything below it can have, and an entry's own
-distance is only computed if the triangle inequality with the stored parent distance doesn't rule it out.
-
-A query first searches the tree of its own pivot. The k-th score from there bounds its search in all other trees, to
-which queries go in blocks.
+Candidates are dealt to bounded trees by the nearest of a few pivots, and in crowded cells by the nearest of the cell's own pivots. A
+tree is a file of pages; a page holds entries with their vector (routing object), covering radius and distance to the page's
+parent object. Search is best first: a page is opened in the order of the least distance that anything below it can have,
+and an entry's own distance is only computed if the triangle inequality with the stored parent distance doesn't rule it out.
+
+A query first searches the tree of its own cell. The k-th score from there, with the trees' root objects and covering radii,
+tells which other trees can hold anything better; only these pairs are formed, and only their pages travel. The nearest few trees
+come first and tighten the bound for the rest.
 """
 
 from __future__ import annotations
@@ -22,32 +23,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import durable
+from logloom.llm.common import bound_batches, durable
 
 _FLAT = "vec_id long, q array<long>"
 
 
 @dataclass(frozen=True)
 class Params:
-    """`pivots`: of the routing sample (rows of least hash), a fixed number whatever the input. `tree_rows`: about the most
-    rows of one tree. `page`: entries of a page. `block`: queries in a block."""
+    """`pivots`: of the routing sample (rows of least hash); a crowded cell gets up to `inner` of its own, so that there are 4096 at most
+    whatever the input. `tree_rows`: about the most rows of one tree; cells beyond are dealt to several trees. `page`: entries of
+    a page. `block`: queries in a block. `first`: trees that a query searches before the others. `roots`: root objects in a group."""
 
     k: int = 5
     scale: int = 256
     pivots: int = 16
+    inner: int = 256
     tree_rows: int = 16384
     page: int = 256
     block: int = 2048
+    first: int = 4
+    roots: int = 4096
+
+
+#: The greatest squared norm: by it every inner product is a long.
+LARGEST = float(1 << 62)
 
 
 def quantised(rows: DataFrame, p: Params, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, q: floor(scale * x) of every component. Rows with a null id, a null vector, or a null or non-finite component
-    are left out. Vectors of different lengths are compared as if the shorter ended in zeros."""
+    are left out, and so are vectors whose quantised squared norm exceeds 2**62, as their scores need not fit in a long. Vectors of
+    different lengths are compared as if the shorter ended in zeros."""
     x = F.col(vector_col).cast("array<double>")
-    fine = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    small = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * p.scale) < float(1 << 31)))
+    norm = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.pow(F.floor(v * p.scale).cast("double"), F.lit(2.0)))
+    fine = F.when(F.col(id_col).isNotNull() & x.isNotNull() & small, norm <= LARGEST).otherwise(False)
     return rows.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * p.scale).cast("long")).alias("q"))
 
 
@@ -127,7 +139,7 @@ class Tree:
         point = np.append(q, 0).astype(np.float64)
         vector = point[:-1] if self.exact and reach < 1 << 52 else q
         slack = 1e-6 * (1.0 + math.sqrt(reach))
-        limit = math.inf if len(best) < k else math.sqrt(max(reach - 2.0 * best[0][0], 0.0)) + slack
+        limit = limit_of([s for s, _ in best[:1]] * len(best), reach, k)
         to_root = float(np.sqrt(((point - self.root_object) ** 2).sum()))
         todo = [(max(0.0, to_root - self.root_radius), self.root, to_root)]
         computed = 1
@@ -177,6 +189,27 @@ def _distinct(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("q").alias("q"))
 
 
+def _cells(rows: DataFrame, width: int, p: Params) -> list[np.ndarray]:
+    """The pivots: for each outer one its inner ones (itself alone where the cell isn't crowded)."""
+    hashed = F.xxhash64("vec_id")
+    outer = np.unique(_matrix([r[0] for r in rows.orderBy(hashed).select("q").limit(p.pivots).collect()], width), axis=0)
+
+    def route(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "q": pdf["q"], "pivot": _nearest(_matrix(pdf["q"], width), outer)})
+
+    routed = rows.mapInPandas(route, f"{_FLAT}, pivot int")
+    out = [outer[j : j + 1] for j in range(len(outer))]
+    crowded = {r["pivot"]: min(p.inner, 2 * -(-r["count"] // p.tree_rows)) for r in routed.groupBy("pivot").count().where(F.col("count") > p.tree_rows).collect()}
+    if crowded:
+        rank = F.row_number().over(Window.partitionBy("pivot").orderBy(hashed))
+        few = routed.where(F.col("pivot").isin(*crowded)).withColumn("rank", rank).where(F.col("rank") <= p.inner).collect()
+        for j, n in crowded.items():
+            out[j] = np.unique(_matrix([r["q"] for r in few if r["pivot"] == j and r["rank"] <= n], width), axis=0)
+    return out
+
+
 def search(rows: DataFrame, queries: DataFrame, p: Params | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query, fewer if there are fewer candidates, ties to
     the smaller vec_id; never the row with the query's own id.
@@ -186,56 +219,114 @@ def search(rows: DataFrame, queries: DataFrame, p: Params | None = None) -> Data
     """
     p = p or Params()
     spark = rows.sparkSession
+    bound_batches(spark)
     rows, queries = durable(_distinct(rows)), _distinct(queries)
     width, top, total = rows.agg(F.max(F.size("q")), F.max(F.aggregate("q", F.lit(0).cast("long"), lambda a, v: a + v * v)), F.count("*")).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(width, queries.agg(F.coalesce(F.max(F.size("q")), F.lit(0))).first()[0])
-    pivots = np.unique(_matrix([r[0] for r in rows.orderBy(F.xxhash64("vec_id")).select("q").limit(p.pivots).collect()], width), axis=0)
+    cells = _cells(rows, width, p)
+    outer = np.stack([c.mean(axis=0) if len(c) > 1 else c[0] for c in cells])
+    starts = np.concatenate(([0], np.cumsum([len(c) for c in cells])))
 
     def route(batches):
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(pivot=_nearest(_matrix(pdf["q"], width), pivots))
-
-    routed = rows.mapInPandas(route, f"{_FLAT}, pivot int")
-    crowds = {r["pivot"]: -(-r["count"] // p.tree_rows) for r in routed.groupBy("pivot").count().collect()}
-    split = F.element_at(F.create_map(*(F.lit(int(x)) for kv in crowds.items() for x in kv)), F.col("pivot"))
-    tree = F.concat_ws("-", "pivot", F.pmod(F.xxhash64("vec_id"), F.coalesce(split, F.lit(1)))).alias("tree")
+                x = _matrix(pdf["q"], width)
+                at = _nearest(x, outer)
+                cell = starts[at]
+                for j in np.unique(at):
+                    if len(cells[j]) > 1:
+                        mine = at == j
+                        cell[mine] += _nearest(x[mine], cells[j])
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "q": pdf["q"], "cell": cell.astype(np.int32)})
+
+    routed = durable(rows.mapInPandas(route, f"{_FLAT}, cell int"))
+    parts = routed.groupBy("cell").agg(F.ceil(F.count("*") / p.tree_rows).cast("int").alias("parts"))  # 4096 cells at most
+    tree = F.concat_ws("-", "cell", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1)))).alias("tree")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         own = Tree(pdf["vec_id"].to_numpy(), _matrix(pdf["q"], width), top, p.page)
-        return pd.DataFrame({"tree": [pdf["tree"].iloc[0]], "pages": [pickle.dumps(own)]})
+        return pd.DataFrame({"tree": [pdf["tree"].iloc[0]], "root": [own.root_object.tolist()], "radius": [own.root_radius], "pages": [pickle.dumps(own)]})
+
+    dealt = routed.join(F.broadcast(parts), "cell").select(tree, "vec_id", "q")
+    trees = durable(dealt.groupBy("tree").applyInPandas(build, "tree string, root array<double>, radius double, pages binary"))
 
-    trees = durable(routed.select(tree, "vec_id", "q").groupBy("tree").applyInPandas(build, "tree string, pages binary"))
+    # queries of a cell are neighbours: they make up blocks
+    asked = queries.mapInPandas(route, f"{_FLAT}, cell int").join(F.broadcast(parts), "cell", "left").select("vec_id", "q", "cell", tree)
+    crowd = asked.groupBy("cell").agg(F.ceil(F.count("*") / p.block).cast("int").alias("many"))
+    block = F.concat_ws("-", "cell", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("many"))).alias("block")
+    asked = durable(asked.join(F.broadcast(crowd), "cell").select("vec_id", "q", "tree", block))
 
-    def found(them: pd.DataFrame, pages: pd.DataFrame, elsewhere: bool) -> pd.DataFrame:
-        """What the queries find in the trees: in those of their own pivot, or in all others with what they know by then."""
+    def look(them: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
+        """What a block's queries find in a tree beyond what they know."""
         out = []
-        grown = [(name, pickle.loads(x)) for name, x in zip(pages["tree"], pages["pages"], strict=True)]
-        known = them["known"] if elsewhere else [None] * len(them)
-        for own, vector, home, before in zip(them["vec_id"].tolist(), _matrix(them["q"], width), them["tree"], known, strict=True):
-            start = [(int(r["score"]), -int(r["vec_id"])) for r in before] if before is not None else []
+        one = pickle.loads(pages["pages"].iloc[0]) if len(pages) else None
+        for own, vector, before in zip(them["vec_id"].tolist(), _matrix(them["q"], width), them["known"], strict=True):
+            start = [] if before is None else [(int(r["score"]), -int(r["vec_id"])) for r in before]
             best = sorted(start)
-            reach = float((vector * vector).sum() + top)
-            for name, one in grown:
-                if not elsewhere or name != home:
-                    one.search(vector, own, p.k, reach, best)
+            if one is not None:
+                one.search(vector, own, p.k, _reach(vector, top), best)
             out += [(own, -i, s) for s, i in best if (s, i) not in start]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    asked = durable(queries.mapInPandas(route, f"{_FLAT}, pivot int").select("vec_id", "q", "pivot", tree.alias("tree")))
-    schema = "query_id long, vec_id long, score long"
-    home = durable(asked.groupBy("tree").cogroup(trees.groupBy("tree")).applyInPandas(lambda a, b: found(a, b, False), schema))
-    bounds = home.groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("known"))
-    blocks = max(1, -(-asked.count() // p.block))
-    with_bounds = asked.join(bounds.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    groups = max(1, min(total // p.tree_rows + 1, 4096))
-    group = F.pmod(F.xxhash64("tree"), F.lit(groups)).cast("int")
-    every_tree = trees.select("tree", "pages", group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    every_block = with_bounds.select("vec_id", "q", "known", "tree", "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-
-    rest = every_block.groupBy("block", "group").cogroup(every_tree.groupBy("block", "group")).applyInPandas(lambda a, b: found(a, b, True), schema)
-    merged = home.unionByName(rest).groupBy("query_id").agg(F.collect_set(F.struct((-F.col("score")).alias("low"), F.col("vec_id"))).alias("all"))
-    ranked = merged.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, p.k)).alias("at", "hit"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.low")).alias("score"))
+    def visit(pairs: DataFrame) -> DataFrame:
+        """`pairs`: vec_id, q, known, tree, block. The pages of a tree go to the blocks that need them."""
+        needed = pairs.select(F.col("tree").alias("of"), F.col("block").alias("to")).distinct().join(trees.select(F.col("tree").alias("of"), "pages"), "of")
+        return pairs.groupBy("tree", "block").cogroup(needed.groupBy("of", "to")).applyInPandas(look, "query_id long, vec_id long, score long")
+
+    def best_of(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= p.k)
+
+    def known_by(found: DataFrame) -> DataFrame:
+        return found.groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("known")).withColumnRenamed("query_id", "vec_id")  # k at most
+
+    nothing = F.lit(None).cast("array<struct<vec_id: bigint, score: bigint>>").alias("known")
+    best = durable(visit(asked.select("vec_id", "q", nothing, "tree", "block")))
+
+    def bounds(them: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
+        """The trees that can hold something better for the queries of a block, and how near it can be at best."""
+        if not len(them) or not len(tops):
+            return pd.DataFrame({"vec_id": [], "tree": [], "low": []})
+        roots, radii, names = np.stack(tops["root"]), tops["radius"].to_numpy(), tops["tree"].to_numpy()
+        out = []
+        for own, vector, home, before in zip(them["vec_id"].tolist(), _matrix(them["q"], width), them["tree"], them["known"], strict=True):
+            low = np.maximum(_gap(roots, np.append(vector, 0).astype(np.float64)) - radii, 0.0)
+            known = [] if before is None else sorted(int(r["score"]) for r in before)
+            may = np.flatnonzero((low <= limit_of(known, _reach(vector, top), p.k)) & (names != home))
+            out.append(pd.DataFrame({"vec_id": own, "tree": names[may], "low": low[may]}))
+        return pd.concat(out)
+
+    # every query meets every group of root objects (of 4096), bin by bin
+    groups, bins = 1 + trees.count() // p.roots, 1 + asked.count() // p.block
+    with_known = asked.join(known_by(best), "vec_id", "left").withColumn("bin", F.pmod(F.xxhash64("vec_id"), F.lit(bins)).cast("int"))
+    roots = trees.select("tree", "root", "radius", F.pmod(F.xxhash64("tree"), F.lit(groups)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    them = with_known.select("vec_id", "q", "known", "tree", "bin", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    open_pairs = them.groupBy("bin", "part").cogroup(roots.groupBy("bin", "part")).applyInPandas(bounds, "vec_id long, tree string, low double")
+    order = F.row_number().over(Window.partitionBy("vec_id").orderBy("low", "tree"))
+    open_pairs = durable(open_pairs.withColumn("order", order))
+    for near in (True, False):
+        pairs = open_pairs.where(F.col("order") <= p.first if near else F.col("order") > p.first)
+        now = asked.drop("tree").join(known_by(best), "vec_id", "left")
+        limit = F.when(F.size("known") >= p.k, _limit_column("q", "known", top)).otherwise(float("inf"))
+        pairs = pairs.join(now, "vec_id").where(F.col("low") <= limit).select("vec_id", "q", "known", "tree", "block")
+        best = durable(best_of(best.select("query_id", "vec_id", "score").unionByName(visit(pairs)).distinct()))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _reach(vector: np.ndarray, top: int) -> float:
+    """|q|^2 + M: a score s lies at the squared distance reach - 2 s."""
+    return float((vector * vector).sum()) + float(top)
+
+
+def limit_of(scores: list[int], reach: float, k: int) -> float:
+    """The distance that a candidate must not exceed to be among the k best (scores in rising order), with a slack for rounding."""
+    return math.sqrt(max(reach - 2.0 * scores[0], 0.0)) + 1e-6 * (1.0 + math.sqrt(reach)) if len(scores) >= k else math.inf
+
+
+def _limit_column(q: str, known: str, top: int):
+    """`limit_of` where k scores are known."""
+    reach = F.aggregate(q, F.lit(float(top)), lambda a, v: a + v.cast("double") * v.cast("double"))
+    worst = F.array_min(F.transform(known, lambda x: x.score)).cast("double")
+    return F.sqrt(F.greatest(reach - 2 * worst, F.lit(0.0))) + 2e-6 * (1 + F.sqrt(reach))

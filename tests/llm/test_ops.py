@@ -64,6 +64,38 @@ def test_topk_against_brute_force(spark):
         assert sorted(got) == [(k + 1, i, -s) for k, (s, i) in enumerate(order)]
 
 
+def test_topk_leaves_out_what_bounds_rule_out(spark):
+    """Far clusters: few pairs of queries and trees are open after the tree of the own cell."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 40, (12, 6))
+    x = np.concatenate([c + rng.normal(0, 0.01, (80, 6)) for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    p = topk.Params(pivots=4, inner=8, tree_rows=100, page=16)
+    q = topk.quantised(df, p)
+    m = np.floor(x * 256).astype(np.int64)
+    found = collections.defaultdict(list)
+    for r in topk.search(q, q.where("vec_id % 50 = 0"), p).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for i in range(0, len(x), 50):
+        s = m @ m[i]
+        assert sorted(found[i]) == [(k + 1, int(j), int(s[j])) for k, j in enumerate([j for j in np.lexsort((np.arange(len(x)), -s)) if j != i][:5])]
+    top = int((m * m).sum(axis=1).max())
+    trees = [topk.Tree(np.arange(80), m[k * 80 : k * 80 + 80], top, 16) for k in range(12)]
+    best = []
+    trees[3].search(m[240], 240, 5, topk._reach(m[240], top), best)
+    limit = topk.limit_of(sorted(s for s, _ in best), topk._reach(m[240], top), 5)
+    may = [k for k, t in enumerate(trees) if topk._gap(t.root_object[None], np.append(m[240], 0.0))[0] - t.root_radius <= limit]
+    assert 3 in may and len(may) < 12
+
+
+def test_topk_of_great_components(spark):
+    rows = [(0, [3e7, 1.0]), (1, [2e6, 0.0]), (2, [1e18, 0.0]), (3, [-3e5, 2.0])]
+    p = topk.Params()
+    q = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), p)
+    found = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.search(q, q, p).collect()}
+    assert {i for i, _ in found} == {1, 3} and found[1, 3] == 256 * 2_000_000 * 256 * -300_000
+
+
 def test_topk_with_few_rows(spark):
     p = topk.Params()
     for rows, n in (([], 0), ([(0, [1.0])], 0), ([(0, [1.0]), (1, [2.0])], 1)):
@@ -76,9 +108,12 @@ def test_mtree_prunes():
     centres = rng.integers(-2000, 2000, (40, 8))
     x = np.concatenate([c + rng.integers(-20, 20, (100, 8)) for c in centres])
     top = int((x * x).sum(axis=1).max())
-    tree, best = topk.Tree(np.arange(len(x)), x, top, 32), []
-    computed = tree.search(x[0], 0, 5, float((x[0] ** 2).sum() + top), best)
-    assert computed < len(x) / 2
+    shares = []
+    for some in (x[::4], x):  # four times the rows: a smaller share of distances
+        tree, best = topk.Tree(np.arange(len(some)), some, top, 32), []
+        shares.append(tree.search(some[0], 0, 5, topk._reach(some[0], top), best) / len(some))
+        assert [s for s, _ in sorted(best, reverse=True)] == sorted((some[1:] @ some[0]).tolist(), reverse=True)[:5]
+    assert shares[1] < 0.5 and shares[1] < shares[0]
 
 
 # --- 2
