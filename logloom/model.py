@@ -25,6 +25,8 @@ SCHEMA_VERSION = (
 )
 METRIC_SAMPLE = "name string, labels map<string,string>, ts timestamp, value double"
 
+SNAPSHOT_LOG = "topic string, partition int, id string, created_ms long, base_offset long, high_water_mark long, num_segments long, total_size long, segment_offsets array<long>"
+
 LOG = ("topic", "partition")
 
 

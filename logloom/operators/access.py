@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.model import small
+
 # The codes of the protocol's enumerations.
 RESOURCE_TYPES = {"any": 1, "topic": 2, "group": 3, "cluster": 4, "transactional_id": 5}
 PATTERN_TYPES = {"any": 1, "literal": 3, "prefixed": 4}
@@ -20,7 +22,8 @@ def authorize(requests: DataFrame, entries: DataFrame, request_id: str = "reques
     Requests hold principal, host, resource_type, resource_name and operation. Wildcards and prefixes are no equality, so
     an entry's name is matched by equality with everything it could stand for: literal names and `*` with the name, prefixes with
     the name's beginnings of the lengths that prefixes have. Requests join entries on (resource type, kind, name), a hash join,
-    and the rest of an entry filters.
+    and the rest of an entry filters. Entries are broadcast where they are counted to be few: then the key of `*`, which every request
+    has, costs no shuffle.
     """
     lengths = [r[0] for r in entries.where(F.col("pattern_type") == PATTERN_TYPES["prefixed"]).select(F.length("resource_name")).distinct().collect()]
     kinds = [F.struct(F.lit(PATTERN_TYPES["literal"]).alias("kind"), F.col("resource_name").alias("name")), F.struct(F.lit(PATTERN_TYPES["literal"]).alias("kind"), F.lit("*").alias("name"))]
@@ -30,7 +33,7 @@ def authorize(requests: DataFrame, entries: DataFrame, request_id: str = "reques
     fits = F.col("principal").isin("*") | (F.col("principal") == F.col("_who"))
     fits = fits & (F.col("host").isin("*") | (F.col("host") == F.col("_from")))
     fits = fits & ((F.col("operation") == OPERATIONS["all"]) | (F.col("operation") == F.col("_op")))
-    hits = asked.join(entries, ["resource_type", "pattern_type", "resource_name"]).where(fits)
+    hits = asked.join(small(entries), ["resource_type", "pattern_type", "resource_name"]).where(fits)
     votes = hits.groupBy(request_id).agg(F.bool_or(F.col("permission_type") == PERMISSIONS["deny"]).alias("deny"), F.bool_or(F.col("permission_type") == PERMISSIONS["allow"]).alias("allow"))
     return requests.select(request_id).join(votes, request_id, "left").select(request_id, F.coalesce(F.col("allow") & ~F.col("deny"), F.lit(False)).alias("allowed"))
 

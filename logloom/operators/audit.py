@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def audit_filter(
@@ -75,7 +76,7 @@ def mask_key(key: Column) -> Column:
 
 
 #: Parts of configuration keys that mark secrets.
-SENSITIVE = ("password", "secret", "token", "key", "credential")
+SENSITIVE = ("password", "secret", "key", "token", "credential", "private")
 
 
 def redact(config: Column, hidden: str = "***REDACTED***") -> Column:
@@ -83,6 +84,19 @@ def redact(config: Column, hidden: str = "***REDACTED***") -> Column:
     return F.transform_values(config, lambda k, v: F.when(F.lower(k).rlike("|".join(SENSITIVE)), F.lit(hidden)).otherwise(v))
 
 
+def redact_nested(value: Column, kind: T.DataType, hidden: str = "***REDACTED***") -> Column:
+    """A setting of any type with the values of sensitive fields and map keys hidden at every depth. What is hidden becomes text; a map whose
+    values are no text keeps their type, and hidden ones are null. Arrays stay as they are."""
+    if isinstance(kind, T.StructType):
+        sensitive = lambda name: any(w in name.lower() for w in SENSITIVE)
+        inner = F.struct(*((F.lit(hidden) if sensitive(f.name) else redact_nested(value[f.name], f.dataType, hidden)).alias(f.name) for f in kind.fields))
+        return F.when(value.isNotNull(), inner)
+    if isinstance(kind, T.MapType):
+        text = isinstance(kind.valueType, T.StringType)
+        return F.transform_values(value, lambda k, v: F.when(F.lower(k).rlike("|".join(SENSITIVE)), F.lit(hidden if text else None)).otherwise(redact_nested(v, kind.valueType, hidden)))
+    return value
+
+
 #: Event types by area and operation.
 DERIVED = {
     "acl": ("create", "delete", "update", "deny"),
@@ -112,9 +126,18 @@ def derive(operations: DataFrame) -> DataFrame:
     )
 
 
-CSV_COLUMNS = ("ts_ms", "event_id", "event_type", "severity", "principal", "resource_type", "resource_name", "result")
+#: The columns of an exported file, in order.
+CSV_COLUMNS = ("timestamp", "event_id", "event_type", "severity", "principal", "host", "resource_type", "resource_name", "operation", "result")
+
+
+def rfc3339(ms: Column) -> Column:
+    """Milliseconds since 1970 as a time of day in UTC, to the second, whatever the session's zone is."""
+    return F.date_format(F.timestamp_add("SECOND", F.floor(ms / 1000).cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def csv_lines_compat(events: DataFrame, columns: Sequence[str] = CSV_COLUMNS) -> DataFrame:
-    """line: fields joined by commas without quoting. For files that readers can trust, write with `sources.sinks.write_csv`."""
-    return events.select(F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("line"))
+def csv_lines_compat(events: DataFrame, order: str = "seq") -> DataFrame:
+    """seq, line: the header (seq -1) and the events, fields joined by commas without quoting. For files that readers can trust, write with
+    `sources.sinks.write_csv`."""
+    fields = [rfc3339(F.col("ts_ms")), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CSV_COLUMNS[1:])]
+    header = events.sparkSession.createDataFrame([(-1, ",".join(CSV_COLUMNS))], "seq long, line string")
+    return header.unionByName(events.select(F.col(order).cast("long").alias("seq"), F.concat_ws(",", *fields).alias("line")))

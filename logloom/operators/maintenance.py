@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.model import LOG, small
+from logloom.model import LOG, SNAPSHOT_LOG, small
 
 
 def compact(
@@ -19,8 +19,8 @@ def compact(
     alone. `active` (topic, partition, active) saves a pass over the records where a listing of segments has it. Records without a key go unless `keep_keyless`. Records younger than `min_age_ms` stay and don't hide older
     ones. Tombstones (empty values) stay, unless `tombstones_after_ms` says how old they may get.
 
-    One pass and one aggregation: each task sends on one record for each of its keys, so neither repetitions nor a key with very many records
-    cost a shuffle. Records that stay in any case are groups of their own.
+    The highest offset of each key is a hash aggregation over offsets alone, combined in each task before anything is shuffled. Only closed, keyed
+    records then meet these offsets in a semi-join; what stays in any case is never shuffled.
     """
     if active is None:
         active = records.groupBy(*LOG).agg(F.max("segment").alias("active"))
@@ -33,10 +33,9 @@ def compact(
         old = (F.coalesce(F.octet_length("value"), F.lit(0)) == 0) & (F.lit(now_ms) - F.col("timestamp") > tombstones_after_ms)
     else:
         old = F.lit(False)
-    rest = [c for c in records.columns if c not in (*LOG, "key")]
-    marked = rows.withColumns({"_own": F.when(exempt, F.col("offset")), "_old": old & ~exempt}).where(F.col("_own").isNotNull() | keyed)
-    newest = marked.groupBy(*LOG, "key", "_own").agg(F.max_by(F.struct(*rest, "_old"), "offset").alias("r"))
-    return newest.where(~F.col("r._old")).select(*LOG, "key", "r.*").select(*records.columns)
+    stays, rivals = rows.where(exempt).select(*records.columns), rows.where(~exempt & keyed).select(*records.columns)
+    newest = rivals.groupBy(*LOG, "key").agg(F.max("offset").alias("offset")).select(*LOG, "offset")
+    return stays.unionByName(rivals.join(newest, [*LOG, "offset"], "left_semi").where(~old))
 
 
 def renumber(compacted: DataFrame) -> DataFrame:
@@ -197,19 +196,71 @@ def snapshots_to_keep(snapshots: DataFrame, most: int, now_ms: int, max_age_ms:
     return snapshots.withColumn("kept", (place <= most) & (F.lit(now_ms) - F.col("created_ms") <= max_age_ms))
 
 
-def take_snapshot(records: DataFrame, path: str, snapshot_id: str, now_ms: int) -> DataFrame:
-    """Writes the records below a folder of the snapshot's id and returns its metadata, one row for each log."""
-    records.write.mode("errorifexists").parquet(f"{path}/snapshot={snapshot_id}")
-    stored = records.sparkSession.read.schema(records.schema).parquet(f"{path}/snapshot={snapshot_id}")
-    return stored.groupBy(*LOG).agg(
-        F.lit(snapshot_id).alias("id"),
-        F.lit(now_ms).alias("created_ms"),
-        F.min("offset").alias("base_offset"),
-        (F.max("offset") + 1).alias("high_water_mark"),
-        F.sum("bytes").cast("long").alias("total_size"),
-        F.array_sort(F.collect_set("segment")).alias("segments"),
-    )
-
-
-def restore_snapshot(spark, path: str, snapshot_id: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/snapshot={snapshot_id}")
+class Snapshots:
+    """Snapshots of logs in a folder that all machines see: the records of each, and beside them its metadata (a row for each log). A snapshot
+    whose metadata isn't whole is none."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _at(self, name: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def ids(self) -> list[str]:
+        fs, root = self._at("metadata")
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(n.removeprefix("snapshot=") for n in names if n.startswith("snapshot=") and self._at(f"metadata/{n}/_SUCCESS")[0].exists(self._at(f"metadata/{n}/_SUCCESS")[1]))
+
+    def create(self, records: DataFrame, snapshot_id: str, now_ms: int) -> DataFrame:
+        """Stores the records (with their segment) and returns the metadata: topic, partition, id, created_ms, base_offset, high_water_mark,
+        num_segments, total_size, segment_offsets. An id that is there already is an error."""
+        if snapshot_id in self.ids():
+            raise ValueError(f"snapshot exists: {snapshot_id}")
+        where = f"{self.path}/records/snapshot={snapshot_id}"
+        records.write.mode("overwrite").parquet(where)
+        stored = self.spark.read.schema(records.schema).parquet(where)
+        segments = stored.groupBy(*LOG, "segment").agg(F.min("offset").alias("base"), F.max("offset").alias("last"), F.sum("bytes").alias("size"))
+        found = segments.groupBy(*LOG).agg(
+            F.lit(snapshot_id).alias("id"),
+            F.lit(now_ms).cast("long").alias("created_ms"),
+            F.min("base").alias("base_offset"),
+            (F.max("last") + 1).alias("high_water_mark"),
+            F.count("*").alias("num_segments"),
+            F.sum("size").cast("long").alias("total_size"),
+            F.array_sort(F.collect_list("base")).alias("segment_offsets"),
+        )
+        found.write.mode("overwrite").parquet(f"{self.path}/metadata/snapshot={snapshot_id}")
+        return self.get(snapshot_id)
+
+    def _metadata(self, ids: list[str]) -> DataFrame:
+        return self.spark.read.schema(SNAPSHOT_LOG).parquet(*(f"{self.path}/metadata/snapshot={i}" for i in ids)) if ids else self.spark.createDataFrame([], SNAPSHOT_LOG)
+
+    def get(self, snapshot_id: str) -> DataFrame:
+        """The metadata of a snapshot; no rows if there is none."""
+        return self._metadata([snapshot_id] if snapshot_id in self.ids() else [])
+
+    def listed(self) -> DataFrame:
+        """place, id, created_ms, logs, total_size of all snapshots, the newest first."""
+        by = self._metadata(self.ids()).groupBy("id").agg(F.max("created_ms").alias("created_ms"), F.count("*").alias("logs"), F.sum("total_size").alias("total_size"))
+        place = F.row_number().over(W.orderBy(F.desc("created_ms"), "id"))  # a row for each snapshot
+        return by.select(place.alias("place"), "id", "created_ms", "logs", "total_size")
+
+    def size(self) -> DataFrame:
+        """total_size of all snapshots."""
+        return self._metadata(self.ids()).agg(F.coalesce(F.sum("total_size"), F.lit(0)).cast("long").alias("total_size"))
+
+    def restore(self, snapshot_id: str) -> DataFrame:
+        """The records of a snapshot. An unknown one is an error."""
+        if snapshot_id not in self.ids():
+            raise ValueError(f"snapshot not found: {snapshot_id}")
+        return self.spark.read.parquet(f"{self.path}/records/snapshot={snapshot_id}")
+
+    def delete(self, snapshot_id: str) -> bool:
+        """Removes a snapshot, its metadata first; False if there is none."""
+        if snapshot_id not in self.ids():
+            return False
+        for part in ("metadata", "records"):
+            fs, at = self._at(f"{part}/snapshot={snapshot_id}")
+            fs.delete(at, True)
+        return True

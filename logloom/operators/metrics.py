@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.model import small
+
 
 def increases(samples: DataFrame, series: Sequence[str]) -> DataFrame:
     """Samples with `inc`: what the counter has grown since the sample before (its value after a reset); null for the first."""
@@ -103,9 +105,26 @@ def counter_sum_compat(samples: DataFrame, series: Sequence[str]) -> DataFrame:
 
 
 def latency(values: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by, mean, p50, p95, p99: exact percentiles by interpolation."""
-    p = lambda q: F.percentile("value", q)
-    return values.groupBy(*by).agg(F.avg("value").alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    """by, mean, p50, p95, p99: exact percentiles by interpolation.
+
+    Equal values are counted first; percentiles are read off the running counts of a group's distinct values, a sort that spills, so no group is held
+    in memory.
+    """
+    counted = values.where("value is not null").groupBy(*by, "value").agg(F.count("*").alias("n"))
+    upto = W.partitionBy(*by).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = counted.withColumn("upto", F.sum("n").over(upto))
+    totals = values.groupBy(*by).agg(F.avg("value").alias("mean"), F.count("value").alias("total"))
+    joined = ranked.join(small(totals), list(by))
+
+    def at(place):
+        return F.min(F.when(F.col("upto") > place, F.col("value")))
+
+    def p(q: float):
+        place = (F.col("total") - 1) * F.lit(q)
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.any_value(place - F.floor(place))
+        return low + (high - low) * part
+
+    return joined.groupBy(*by).agg(F.any_value("mean").alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
 
 
 def latency_approx(values: DataFrame, by: Sequence[str], accuracy: int = 10_000) -> DataFrame:

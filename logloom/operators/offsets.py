@@ -82,34 +82,28 @@ def delete_group_offsets(commits: DataFrame, groups: DataFrame) -> DataFrame:
     return commits.join(groups.where(F.col("state").isin("Empty", "Dead")).select("group_id"), "group_id", "left_anti")
 
 
-def offset_for_timestamp(records: DataFrame, wanted: DataFrame, marks: DataFrame) -> DataFrame:
-    """topic, partition, wanted_ms, offset: the smallest offset of a record not older than `wanted_ms`, else the next offset.
+def asof_forward(left: DataFrame, records: DataFrame, stretch: int = 100_000) -> DataFrame:
+    """`left` (topic, partition, wanted_ms) with the smallest offset of a record not older than each wanted time; null if there is none.
 
-    A record's timestamp may be below an earlier one's. Records meet the wanted times of their log, which must be few
-    for each log (it is a request), and are reduced at once: at most one row per log and wanted time leaves a task.
+    A record's timestamp may be below an earlier one's. One aggregation gives the newest time of each stretch of offsets. The first stretch that
+    reaches a wanted time holds its answer: sorted by time, stretches and wanted times need one window over these small tables.
+    Only records of such stretches are read for the answer itself.
     """
-    found = records.join(small(wanted), list(LOG)).where("timestamp >= wanted_ms").groupBy(*LOG, "wanted_ms").agg(F.min("offset").alias("found"))
-    asked = wanted.join(marks, list(LOG)).join(found, [*LOG, "wanted_ms"], "left")
-    return asked.select(*LOG, "wanted_ms", F.coalesce("found", "hwm").cast("long").alias("offset"))
-
+    number = F.floor(F.col("offset") / F.lit(stretch)).alias("slot")
+    slots = records.groupBy(*LOG, number).agg(F.max("timestamp").alias("time"))
+    wanted = left.select(*LOG, "wanted_ms").distinct()
+    both = slots.select(*LOG, "time", "slot", F.lit(None).cast("long").alias("wanted_ms")).unionByName(wanted.select(*LOG, F.col("wanted_ms").alias("time"), F.lit(None).cast("long").alias("slot"), "wanted_ms"))
+    reached = F.min("slot").over(W.partitionBy(*LOG).orderBy(F.desc("time")).rangeBetween(W.unboundedPreceding, W.currentRow))
+    first = both.withColumn("slot", reached).where("wanted_ms is not null and slot is not null").select(*LOG, "slot", "wanted_ms")
+    inside = records.select(*LOG, "timestamp", "offset", number).join(small(first), [*LOG, "slot"]).where("timestamp >= wanted_ms")
+    found = inside.groupBy(*LOG, "wanted_ms").agg(F.min("offset").alias("offset"))
+    return left.join(found, [*LOG, "wanted_ms"], "left").select(*LOG, "wanted_ms", "offset")
 
-def asof_forward(left: DataFrame, records: DataFrame, slots_ms: int) -> DataFrame:
-    """`left` (topic, partition, wanted_ms) with the offset of the first record at or after each wanted time, by offset.
 
-    For very many wanted times: both sides are cut into slots of time. A record's slot keeps the least offset of it and
-    of all later slots of its log (a window over slots, not records), so each wanted time needs only the records of its own
-    slot beyond that.
-    """
-    slot = lambda c: F.floor(F.col(c) / F.lit(slots_ms)).alias("slot")
-    slots = records.groupBy(*LOG, slot("timestamp")).agg(F.min("offset").alias("least"))
-    after = F.min("least").over(W.partitionBy(*LOG).orderBy(F.desc("slot")).rowsBetween(W.unboundedPreceding, W.currentRow))
-    later = slots.withColumn("later", after)
-    asked = left.withColumn("slot", F.floor(F.col("wanted_ms") / F.lit(slots_ms)))
-    inside = asked.join(records.select(*LOG, "timestamp", "offset", slot("timestamp")), [*LOG, "slot"]).where("timestamp >= wanted_ms")
-    inside = inside.groupBy(*LOG, "wanted_ms").agg(F.min("offset").alias("inside"))
-    marks = later.groupBy(*LOG).agg(F.collect_list(F.struct("slot", "later")).alias("slots"))
-    beyond = asked.join(marks, list(LOG), "left").withColumn("beyond", F.array_min(F.transform(F.filter("slots", lambda s: s.slot > F.col("slot")), lambda s: s.later)))
-    return beyond.join(inside, [*LOG, "wanted_ms"], "left").select(*LOG, "wanted_ms", F.least("inside", "beyond").alias("offset"))
+def offset_for_timestamp(records: DataFrame, wanted: DataFrame, marks: DataFrame) -> DataFrame:
+    """topic, partition, wanted_ms, offset: the smallest offset of a record not older than `wanted_ms`, else the next offset."""
+    found = asof_forward(wanted, records).join(marks, list(LOG))
+    return found.select(*LOG, "wanted_ms", F.coalesce("offset", "hwm").cast("long").alias("offset"))
 
 
 def initial_positions(consumers: DataFrame, marks: DataFrame) -> DataFrame:

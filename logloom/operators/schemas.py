@@ -49,6 +49,12 @@ def lookup(requests: DataFrame, schemas: DataFrame) -> DataFrame:
     return found.select("subject", "version", "schema", error.alias("error"))
 
 
+def by_id(ids: DataFrame, schemas: DataFrame) -> DataFrame:
+    """id, subject, version, schema, error for requests by id: 40403 for an unknown one."""
+    found = ids.join(schemas.select("id", "subject", "version", "schema"), "id", "left")
+    return found.withColumn("error", F.when(F.col("schema").isNull(), NOT_FOUND["schema"]).otherwise(0))
+
+
 def field_changes(schemas: DataFrame) -> DataFrame:
     """subject, version, added, removed: names against the version before, in order."""
     names = schemas.withColumn("_names", F.transform(fields(F.col("schema")), lambda f: f["name"]))

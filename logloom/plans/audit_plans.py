@@ -52,7 +52,11 @@ def audit_retention(spark, d):
     return A.retain(V.audit(spark, d), 1706745600000, 432_000_000)
 
 
-@query(WITH + "SELECT concat_ws(',', ts_ms, event_id, event_type, severity, principal, resource_type, resource_name, result) AS line FROM audit")
+@query(
+    WITH
+    + """SELECT CAST(-1 AS BIGINT) AS seq, 'timestamp,event_id,event_type,severity,principal,host,resource_type,resource_name,operation,result' AS line UNION ALL
+    SELECT seq, concat_ws(',', strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%SZ'), event_id, event_type, severity, principal, host, resource_type, resource_name, operation, result) FROM audit"""
+)
 def audit_export_csv(spark, d):
     return A.csv_lines_compat(V.audit(spark, d))
 
@@ -69,6 +73,22 @@ def redacted_config(spark, d):
     return s.select("s_suppkey", F.col("m")["broker.name"].alias("name"), F.col("m")["Admin.PassWord"].alias("password"))
 
 
+@query(
+    """SELECT s_suppkey, s_name AS name, '***REDACTED***' AS private_part, s_name AS inner_name, '***REDACTED***' AS inner_token, '***REDACTED***' AS api_key, s_name AS region
+    FROM supplier"""
+)
+def redacted_nested_config(spark, d):
+    """Settings in structs and maps, three levels deep."""
+    deep = F.struct(F.col("s_name").alias("name"), F.col("s_name").alias("authToken"), F.create_map(F.lit("Api.Key"), "s_name", F.lit("region"), "s_name").alias("more"))
+    config = F.struct(F.col("s_name").alias("name"), deep.alias("privatePart"), deep.alias("inner")).alias("config")
+    s = V.table(spark, d, "supplier").select("s_suppkey", config)
+    found = s.select("s_suppkey", A.redact_nested(F.col("config"), s.schema["config"].dataType).alias("c"))
+    more = F.col("c.inner.more")
+    return found.select(
+        "s_suppkey", F.col("c.name").alias("name"), F.col("c.privatePart").alias("private_part"), F.col("c.inner.name").alias("inner_name"), F.col("c.inner.authToken").alias("inner_token"), more["Api.Key"].alias("api_key"), more["region"].alias("region")
+    )
+
+
 @query(
     """WITH o AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'acl' WHEN 1 THEN 'topic' WHEN 2 THEN 'data' ELSE 'auth' END AS area,
         CASE event_id % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'deny' WHEN 2 THEN 'consume' WHEN 3 THEN 'failure' ELSE 'delete' END AS operation,

@@ -39,6 +39,7 @@ def aes_roundtrip(spark, d):
     """Records sealed under two keys, opened with the key that each names."""
     keys = spark.createDataFrame([("k1", "0123456789abcdef"), ("k2", "fedcba9876543210")], "key_id string, key string")
     records = V.records(spark, d).withColumn("key_id", F.when(F.col("offset") % 2 == 0, "k1").otherwise("k2"))
-    sealed = records.join(F.broadcast(keys), "key_id").withColumn("sealed", K.seal(F.col("value"), F.col("key_id"), F.encode(keys["key"], "UTF-8")))
-    opened = sealed.select("topic", "partition", "offset", "sealed").withColumn("key_id", K.sealed_key_id(F.col("sealed"))).join(F.broadcast(keys), "key_id")
-    return opened.select("topic", "partition", "offset", F.decode(K.unseal(F.col("sealed"), F.encode("key", "UTF-8")), "UTF-8").alias("value"), F.lit(True).alias("same"))
+    sealed = records.withColumn("plain", F.col("value")).join(F.broadcast(keys), "key_id").withColumn("sealed", K.seal(F.col("value"), F.col("key_id"), F.encode(keys["key"], "UTF-8")))
+    opened = sealed.select("topic", "partition", "offset", "plain", "sealed").withColumn("key_id", K.sealed_key_id(F.col("sealed"))).join(F.broadcast(keys), "key_id")
+    value = F.decode(K.unseal(F.col("sealed"), F.encode("key", "UTF-8")), "UTF-8")
+    return opened.withColumn("value", value).select("topic", "partition", "offset", "value", F.col("value").eqNullSafe(F.col("plain")).alias("same"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from logloom.operators import maintenance as M
@@ -9,6 +11,7 @@ from logloom.operators.offsets import log_ends
 from logloom.plans import views as V
 from logloom.plans.registry import query
 from logloom.plans.views import RECORDS, SEGMENTED, with_views
+from logloom.sources.sinks import shared_folder
 
 NOW = 1706745600000
 COLUMNS = 'topic, "partition", "offset", "timestamp", key, value, bytes, segment'
@@ -23,8 +26,7 @@ def _segmented(spark, d):
 
 
 def _compacted(spark, d):
-    active = V.marks(spark, d).select("topic", "partition", F.expr(f"(hwm - 1) div {V.SEGMENT_ROWS}").alias("active"))
-    return M.compact(_segmented(spark, d), active=active)
+    return M.compact(_segmented(spark, d))
 
 
 @query(with_views(RECORDS, SEGMENTED, ACTIVE, COMPACTED) + f"SELECT {COLUMNS} FROM compacted")
@@ -170,3 +172,46 @@ def snapshots_to_keep(spark, d):
 
     s = V.table(spark, d, "orders").select(F.col("o_orderpriority").alias("log"), F.col("o_orderkey").alias("id"), epoch_ms(F.col("o_orderdate")).alias("created_ms"))
     return M.snapshots_to_keep(s, 20, 1000000000000, 86400000000)
+
+
+SNAPSHOT = """SELECT topic, "partition", 's1' AS id, CAST(1000 AS BIGINT) AS created_ms, CAST(min("offset") AS BIGINT) AS base_offset, CAST(max("offset") + 1 AS BIGINT) AS high_water_mark,
+    count(DISTINCT segment) AS num_segments, CAST(sum(bytes) AS BIGINT) AS total_size, string_agg(DISTINCT "offset" - "offset" % 100, ',' ORDER BY "offset" - "offset" % 100) AS segment_offsets FROM segmented GROUP BY ALL"""
+
+
+def _snapshots(spark, d):
+    """Two snapshots of all logs, the second without topic `error`."""
+    store = M.Snapshots(spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}")
+    rows = _segmented(spark, d)
+    store.create(rows, "s1", 1000)
+    store.create(rows.where("topic <> 'error'"), "s2", 2000)
+    return store
+
+
+@query(with_views(RECORDS, SEGMENTED) + SNAPSHOT)
+def snapshot_create(spark, d):
+    found = M.Snapshots(spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}").create(_segmented(spark, d), "s1", 1000)
+    return found.withColumn("segment_offsets", F.array_join(F.col("segment_offsets").cast("array<string>"), ","))
+
+
+@query(with_views(RECORDS) + """, n AS (SELECT count(*) FILTER (WHERE topic <> 'error') AS two, count(*) AS one, count(DISTINCT (topic, "partition")) AS logs, count(DISTINCT (topic, "partition")) FILTER (WHERE topic <> 'error') AS logs2,
+    sum(bytes) AS size1, sum(bytes) FILTER (WHERE topic <> 'error') AS size2 FROM records)
+    SELECT CAST(1 AS INTEGER) AS place, 's2' AS id, CAST(2000 AS BIGINT) AS created_ms, CAST(logs2 AS BIGINT) AS logs, CAST(size2 AS BIGINT) AS total_size FROM n UNION ALL SELECT 2, 's1', 1000, logs, CAST(size1 AS BIGINT) FROM n""")
+def snapshot_list(spark, d):
+    return _snapshots(spark, d).listed()
+
+
+@query(with_views(RECORDS) + """SELECT 's2' AS id, topic, "partition", CAST(max("offset") + 1 AS BIGINT) AS high_water_mark FROM records WHERE topic <> 'error' GROUP BY ALL""")
+def snapshot_get(spark, d):
+    return _snapshots(spark, d).get("s2").select("id", "topic", "partition", "high_water_mark")
+
+
+@query(with_views(RECORDS, SEGMENTED) + f"SELECT {COLUMNS} FROM segmented WHERE topic <> 'error'")
+def snapshot_restore(spark, d):
+    return _snapshots(spark, d).restore("s2")
+
+
+@query(with_views(RECORDS) + """SELECT 's2' AS id, true AS deleted, CAST(sum(bytes) AS BIGINT) AS size_left FROM records UNION ALL SELECT 's9', false, CAST(sum(bytes) AS BIGINT) FROM records""")
+def snapshot_delete(spark, d):
+    store = _snapshots(spark, d)
+    done = [(name, store.delete(name)) for name in ("s2", "s9")]
+    return spark.createDataFrame(done, "id string, deleted boolean").crossJoin(store.size().select(F.col("total_size").alias("size_left")))

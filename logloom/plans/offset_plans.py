@@ -174,7 +174,7 @@ def offset_for_timestamp(spark, d):
 @query(with_views(RECORDS, HWM, WANTED) + FOUND.format(past="NULL"))
 def asof_forward(spark, d):
     records = V.records(spark, d)
-    return O.asof_forward(_wanted(O.high_water_marks(records)), records, 6 * 3600 * 1000)
+    return O.asof_forward(_wanted(O.high_water_marks(records)), records)
 
 
 @query(with_views(RECORDS) + 'SELECT topic, "partition", CAST(min("offset") AS BIGINT) AS earliest, CAST(max("offset") + 1 AS BIGINT) AS latest FROM records WHERE "offset" >= 5 GROUP BY ALL')

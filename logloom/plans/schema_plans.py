@@ -58,6 +58,11 @@ def schema_lookup(spark, d):
     return S.lookup(spark.createDataFrame([("users", 2), ("users", 9), ("nobody", 1)], "subject string, version int"), _versions(spark))
 
 
+@query(with_views(VERSIONS_SQL) + "SELECT q.id, v.subject, v.version, v.schema, CASE WHEN v.id IS NULL THEN 40403 ELSE 0 END AS error FROM (VALUES (1), (6), (99)) AS q(id) LEFT JOIN versions v USING (id)")
+def schema_by_id(spark, d):
+    return S.by_id(spark.createDataFrame([(1,), (6,), (99,)], "id int"), _versions(spark))
+
+
 @query(with_views(VERSIONS_SQL) + "SELECT subject, string_agg(version, ',' ORDER BY version) AS versions FROM versions GROUP BY subject")
 def schema_versions(spark, d):
     found = _versions(spark).groupBy("subject").agg(F.array_sort(F.collect_list("version")).alias("v"))

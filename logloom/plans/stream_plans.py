@@ -65,30 +65,31 @@ def stream_ingest(spark, d):
     return table.read().select("topic", "partition", "offset", "key", "value")
 
 
-@query(with_views(RECORDS) + 'SELECT topic, "partition", "offset", "timestamp", key, value FROM records WHERE topic = \'view\'')
+@query(with_views(RECORDS) + 'SELECT topic, "partition", "offset", "timestamp", key, value FROM records')
 def framed_log_roundtrip(spark, d):
     """Records framed into segment files and read back."""
     path = f"{shared_folder(spark)}/framed-{uuid.uuid4().hex}"
-    rows = V.segmented(V.records(spark, d)).where("topic = 'view'").select("topic", "partition", "segment", "offset", "timestamp", *(F.encode(c, "UTF-8").alias(c) for c in ("key", "value")))
+    rows = V.segmented(V.records(spark, d)).select("topic", "partition", "segment", "offset", "timestamp", *(F.encode(c, "UTF-8").alias(c) for c in ("key", "value")))
     write_log_files(rows, path)
     read = decode_logs(spark.read.schema("segment long, data binary, topic string, partition int").parquet(path))
     return read.select("topic", "partition", "offset", "timestamp", *(F.decode(c, "UTF-8").alias(c) for c in ("key", "value")))
 
 
-@query(with_views(RECORDS) + "SELECT \"offset\", \"timestamp\", key, value FROM records WHERE topic = 'error' AND \"partition\" = 1")
+@query(with_views(RECORDS) + "SELECT \"offset\", \"timestamp\", key, value FROM records")
 def jsonl_roundtrip(spark, d):
     """Records exported as JSON lines and imported again."""
     path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
-    write_jsonl(V.records(spark, d).where("topic = 'error' and partition = 1").select("offset", "timestamp", "key", "value"), path, 1000)
+    write_jsonl(V.records(spark, d).select("offset", "timestamp", "key", "value"), path, 1000)
     return read_jsonl(spark, path)
 
 
-@query(with_views(RECORDS, HWM, COMMITS, GROUPS_SQL) + """SELECT group_id, state, CAST(count(*) AS BIGINT) AS topics, CAST(sum(o) AS BIGINT) AS view_0 FROM (SELECT DISTINCT group_id, state, topic, CASE WHEN topic = 'view' THEN (SELECT "offset" FROM commits d WHERE d.group_id = c.group_id AND d.topic = 'view' AND d."partition" = 0) END AS o FROM commits c JOIN groups USING (group_id)) GROUP BY ALL""")
+@query(with_views(RECORDS, HWM, COMMITS, GROUPS_SQL) + """SELECT group_id, 'consumer' AS protocol_type, state, CAST(7 AS INTEGER) AS generation, CASE WHEN state = 'Stable' THEN 'm1' END AS leader, CAST(count(*) AS BIGINT) AS topics, CAST(sum(o) AS BIGINT) AS view_0 FROM (SELECT DISTINCT group_id, state, topic, CASE WHEN topic = 'view' THEN (SELECT "offset" FROM commits d WHERE d.group_id = c.group_id AND d.topic = 'view' AND d."partition" = 0) END AS o FROM commits c JOIN groups USING (group_id)) GROUP BY ALL""")
 def group_exports(spark, d):
-    found = group_export(_groups(spark), V.commits(high_water_marks(V.records(spark, d))))
+    groups = _groups(spark).withColumns({"protocol_type": F.lit("consumer"), "generation": F.lit(7), "leader": F.when(F.col("state") == "Stable", "m1")})
+    found = group_export(groups, V.commits(high_water_marks(V.records(spark, d))))
     offsets = F.from_json(F.get_json_object("export", "$.offsets"), "map<string,string>")
     view_0 = F.get_json_object(F.element_at(offsets, "view"), "$.0").cast("long")
-    return found.select("group_id", F.get_json_object("export", "$.state").alias("state"), F.size(offsets).cast("long").alias("topics"), view_0.alias("view_0"))
+    return found.select("group_id", *(F.get_json_object("export", f"$.{c}").cast(kind).alias(c) for c, kind in (("protocol_type", "string"), ("state", "string"), ("generation", "int"), ("leader", "string"))), F.size(offsets).cast("long").alias("topics"), view_0.alias("view_0"))
 
 
 @query("SELECT event_id, CAST(0 AS INTEGER) AS \"partition\", CASE WHEN event_id % 3 = 1 THEN NULL ELSE props END AS value, CASE WHEN event_id % 3 = 1 THEN 'bad value' END AS error FROM events")

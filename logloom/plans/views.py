@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.model import dense_offsets, epoch_ms, record_bytes
+from logloom.operators.offsets import high_water_marks
 from logloom.operators.replication import assign_replicas
+from logloom.sources.sinks import shared_folder
 
 BROKERS = (1, 2, 3)
 SEGMENT_ROWS = 100
@@ -16,8 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+STORED = "offset long, timestamp long, key string, value string, bytes long, topic string, partition int"
+#: Offsets in one file of a log.
+STRETCH = 1_000_000
+_stored: dict[tuple[str, str], str] = {}
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as records: a topic for each event type, four partitions each, keyed by user."""
+    """Events as records: a topic for each event type, four partitions each, keyed by user.
+
+    Records are numbered once for a session and stored as a log is: a folder for each topic and partition, files by stretches of offsets, each in
+    order. Bounds on topic, partition, offset and time then reach the scan.
+    """
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _stored:
+        path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+        rows = numbered_records(spark, sf_dir).withColumn("stretch", F.expr(f"offset div {STRETCH}"))
+        dealt = rows.repartition("topic", "partition", "stretch").sortWithinPartitions("topic", "partition", "offset").drop("stretch")
+        dealt.write.partitionBy("topic", "partition").parquet(path)
+        _stored[known] = path
+    columns = ("topic", "partition", "offset", "timestamp", "key", "value", "bytes")
+    return spark.read.schema(STORED).parquet(_stored[known]).select(*columns)
+
+
+def numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with the offsets that their order gives them."""
     rows = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("topic"),
         (F.col("user_id") % 4).cast("int").alias("partition"),
@@ -80,9 +107,8 @@ SEGMENTED = f'segmented AS (SELECT *, CAST("offset" // {SEGMENT_ROWS} AS BIGINT)
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next offsets of `records`. Its offsets have no gaps, so rows are counted and nothing is numbered or sorted."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition")).agg(F.count("*").alias("hwm"))
+    """The next offsets of `records`."""
+    return high_water_marks(records(spark, sf_dir))
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +121,10 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type"),
         F.when(F.col("event_type") == "error", "error").when(F.col("value") > 90, "warning").otherwise("info").alias("severity"),
         F.concat(F.lit("user"), F.col("user_id")).alias("principal"),
+        F.concat(F.lit("10.0.0."), F.col("user_id") % 250).alias("host"),
         F.lit("topic").alias("resource_type"),
         F.concat(F.lit("topic-"), F.col("user_id") % 7).alias("resource_name"),
+        F.when(F.col("event_id") % 3 == 0, "create").otherwise("delete").alias("operation"),
         F.when(F.col("event_id") % 2 == 0, "success").otherwise("failure").alias("result"),
     )
 
@@ -104,8 +132,8 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUDIT = """audit AS (
     SELECT event_id AS seq, 'ev-' || event_id AS event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ts_ms, event_type,
            CASE WHEN event_type = 'error' THEN 'error' WHEN value > 90 THEN 'warning' ELSE 'info' END AS severity,
-           'user' || user_id AS principal, 'topic' AS resource_type, 'topic-' || (user_id % 7) AS resource_name,
-           CASE WHEN event_id % 2 = 0 THEN 'success' ELSE 'failure' END AS result
+           'user' || user_id AS principal, '10.0.0.' || (user_id % 250) AS host, 'topic' AS resource_type, 'topic-' || (user_id % 7) AS resource_name,
+           CASE WHEN event_id % 3 = 0 THEN 'create' ELSE 'delete' END AS operation, CASE WHEN event_id % 2 = 0 THEN 'success' ELSE 'failure' END AS result
     FROM events)"""
 
 

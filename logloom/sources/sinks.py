@@ -11,8 +11,12 @@ from logloom.model import LOG
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/logloom-shared"
+    """The folder that all machines share (spark.checkpoint.dir). Only a local session without one, as in tests, gets a local folder; on a
+    cluster its lack is an error."""
+    found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return found or "/tmp/logloom-shared"
 
 
 def write_jsonl(rows: DataFrame, path: str, max_records_per_file: int = 0, compression: str = "none") -> None:
@@ -33,11 +37,15 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
+#: The fields of an exported group.
+GROUP_FIELDS = ("protocol_type", "state", "generation", "leader", "offsets")
+
+
 def group_export(groups: DataFrame, commits: DataFrame) -> DataFrame:
-    """group_id, export: JSON of a group's state and its offsets by topic and partition."""
+    """group_id, export: JSON of a group's protocol type, state, generation, leader and its offsets by topic and partition. Nulls are left out."""
     topics = commits.groupBy("group_id", "topic").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("partition").cast("string"), "offset")))).alias("o"))
     offsets = topics.groupBy("group_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("topic", F.to_json("o").alias("o"))))).alias("offsets"))
-    return groups.join(offsets, "group_id", "left").select("group_id", F.to_json(F.struct("state", "offsets")).alias("export"))
+    return groups.join(offsets, "group_id", "left").select("group_id", F.to_json(F.struct(*GROUP_FIELDS)).alias("export"))
 
 
 def write_log_files(records: DataFrame, path: str) -> None:

@@ -32,12 +32,29 @@ class LogTable:
         return self.spark.read.schema(STORED).option("basePath", self.path).parquet(*(f"{self.path}/batch={b}" for b in use)).drop("batch")
 
     def append(self, batch_id: int, rows: DataFrame, now_ms: int, order: str = "seq") -> None:
-        """Appends rows (topic, partition, key, value and an order) with the next offsets of their logs. Fits `foreachBatch`."""
-        ends = self.read(before=batch_id).groupBy(*LOG).agg(F.max("offset").alias("last"))
-        numbered = dense_offsets(rows, LOG, F.lit(0), order)
+        """Appends rows (topic, partition, key, value and an order) with the next offsets of their logs. Fits `foreachBatch`.
+
+        A small table with the last offset of each log is written beside each batch, so that the next one doesn't read the records.
+        Rows are numbered by stretches of a numeric order.
+        """
+        ends = self._ends(batch_id)
+        numeric = rows.schema[order].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+        numbered = dense_offsets(rows, LOG, F.floor(F.col(order) / F.lit(100_000)) if numeric else F.lit(0), order)
         placed = numbered.join(small(ends), list(LOG), "left").withColumn("offset", F.coalesce(F.col("last") + 1, F.lit(0)) + F.col("offset"))
         out = placed.select("offset", F.lit(now_ms).cast("long").alias("timestamp"), "key", "value", F.lit(batch_id).cast("long").alias("batch_id"), *LOG)
         out.write.mode("overwrite").partitionBy(*LOG).parquet(f"{self.path}/batch={batch_id}")
+        own = self.spark.read.schema(STORED).parquet(f"{self.path}/batch={batch_id}").select(*LOG, F.col("offset").alias("last"))
+        now = ends.unionByName(own).groupBy(*LOG).agg(F.max("last").alias("last"))
+        now.coalesce(1).write.mode("overwrite").parquet(f"{self.path}-ends/batch={batch_id}")
+
+    def _ends(self, batch_id: int) -> DataFrame:
+        """topic, partition, last before a batch: the table beside the last whole batch, or from the records where that isn't whole."""
+        before = [b for b in self.batches() if b < batch_id]
+        at = f"{self.path}-ends/batch={before[-1]}" if before else ""
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS") if at else None
+        if done is not None and done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
+            return self.spark.read.schema("topic string, partition int, last long").parquet(at)
+        return self.read(before=batch_id).groupBy(*LOG).agg(F.max("offset").alias("last"))
 
 
 def formatted(data: Column, kind: str) -> Column:

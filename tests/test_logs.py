@@ -213,9 +213,50 @@ def test_produce_errors_are_per_row(spark):
 
 def test_snapshots(spark, tmp_path):
     rows = records(spark, [(0, 0, "a", "1", 0), (1, 1, "b", "1", 1)])
-    meta = maintenance.take_snapshot(rows, str(tmp_path), "s1", 5).first()
-    assert (meta["base_offset"], meta["high_water_mark"], meta["segments"]) == (0, 2, [0, 1])
-    assert maintenance.restore_snapshot(spark, str(tmp_path), "s1").count() == 2
+    store = maintenance.Snapshots(spark, str(tmp_path))
+    meta = store.create(rows, "s1", 5).first()
+    assert (meta["base_offset"], meta["high_water_mark"], meta["num_segments"], meta["segment_offsets"]) == (0, 2, 2, [0, 1])
+    assert store.restore("s1").count() == 2 and store.ids() == ["s1"]
+    with pytest.raises(ValueError, match="exists"):
+        store.create(rows, "s1", 6)
+    store.create(rows, "s2", 6)
+    assert [r["id"] for r in store.listed().orderBy("place").collect()] == ["s2", "s1"]
+    assert store.delete("s1") and not store.delete("s1") and store.get("s1").count() == 0
+    with pytest.raises(ValueError, match="not found"):
+        store.restore("s1")
+    assert store.size().first()["total_size"] == store.get("s2").first()["total_size"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounds_reach_the_scan(spark, tiny):
+    from logloom.plans import views
+
+    rows = views.records(spark, tiny)
+    plan = plan_of(rows.where("topic = 'view' and partition = 1 and offset >= 10 and offset < 20").select("offset", "key"))
+    assert "GreaterThanOrEqual(offset,10)" in plan and "LessThan(offset,20)" in plan and "PartitionFilters: [isnotnull(topic" in plan
+    assert "ReadSchema: struct<offset:bigint,key:string>" in plan
+    assert "GreaterThan(timestamp,5)" in plan_of(rows.where("timestamp > 5"))
+
+
+def test_compaction_is_a_hash_aggregation(spark, tiny):
+    from logloom.plans import views
+
+    plan = plan_of(maintenance.compact(views.segmented(views.records(spark, tiny))))
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_appends_keep_the_last_offsets(spark, tmp_path):
+    from logloom.sources.writes import LogTable
+
+    log = LogTable(spark, str(tmp_path / "log"))
+    rows = spark.createDataFrame([("t", 0, "k", "v", i) for i in range(5)], "topic string, partition int, key string, value string, seq long")
+    for b in (0, 1, 1):
+        log.append(b, rows, 1)
+    assert sorted(r["offset"] for r in log.read().collect()) == list(range(10))
+    assert "batch=" not in plan_of(log._ends(2)).replace("log-ends/batch=", "")
 
 
 def test_session_timeouts_stream(spark, tmp_path):
