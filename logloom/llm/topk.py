@@ -252,11 +252,18 @@ def search(rows: DataFrame, queries: DataFrame, p: Params | None = None) -> Data
     dealt = routed.join(F.broadcast(parts), "cell").select(tree, "vec_id", "q")
     trees = durable(dealt.groupBy("tree").applyInPandas(build, "tree string, root array<double>, radius double, pages binary"))
 
-    # queries of a cell are neighbours: they make up blocks
-    asked = queries.mapInPandas(route, f"{_FLAT}, cell int").join(F.broadcast(parts), "cell", "left").select("vec_id", "q", "cell", tree)
-    crowd = asked.groupBy("cell").agg(F.ceil(F.count("*") / p.block).cast("int").alias("many"))
-    block = F.concat_ws("-", "cell", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("many"))).alias("block")
-    asked = durable(asked.join(F.broadcast(crowd), "cell").select("vec_id", "q", "tree", block))
+    # queries of a cell are neighbours: cells side by side fill blocks, a crowded one is dealt to several
+    asked = durable(queries.mapInPandas(route, f"{_FLAT}, cell int").join(F.broadcast(parts), "cell", "left").select("vec_id", "q", "cell", tree))
+    dealt, base, held = [], 0, 0
+    for cell, n in sorted((r["cell"], r["count"]) for r in asked.groupBy("cell").count().collect()):  # 4096 cells at most
+        if held and held + n > p.block:
+            base, held = base + 1, 0
+        many = max(1, -(-n // p.block))
+        dealt.append((cell, base, many))
+        base, held = (base + many, 0) if many > 1 else (base, held + n)
+    blocks = spark.createDataFrame(dealt, "cell int, base int, many int")
+    block = (F.col("base") + F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("many"))).cast("int").alias("block")
+    asked = durable(asked.join(F.broadcast(blocks), "cell").select("vec_id", "q", "tree", block))
 
     def look(them: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
         """What a block's queries find in a tree beyond what they know."""
