@@ -5,8 +5,8 @@ says that no part of it is sound: players hear silence, and readers get the byte
 with a variable-bitrate table. A tag in front of it holds the payload's length and checksum.
 
 The parser assumes nothing of that: it skips tags at either end, resynchronises on frame headers that are confirmed by
-the next one, checks the checksum of every frame that has one, reads Xing and VBRI tables, and gives the exact number of
-samples and the offset of every frame.
+the next one, checks the checksums of layers I and III (those of layer II, which cover a part whose length depends on tables, are counted as
+unchecked), reads Xing and VBRI tables with their seek points, and gives the exact number of samples and the offset of every frame.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_left
 from dataclasses import dataclass, field
 from fractions import Fraction
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,12 +146,15 @@ def write(payload: bytes) -> bytes:
 
 @dataclass
 class Parsed:
-    """`samples` without the frame of the variable-bitrate table. `offsets`: of all sound frames. `skipped`: bytes between frames."""
+    """`samples` without the frame of the variable-bitrate table. `offsets`: of all sound frames. `toc`: the 100 points of a Xing table; `seek`: the
+    offsets that a VBRI table gives, counted from its frame. `skipped`: bytes between frames."""
 
     tags: dict[str, bytes] = field(default_factory=dict)
     table: str = ""
     table_frames: int = -1
     toc: bytes = b""
+    seek: list[int] = field(default_factory=list)
+    unchecked: int = 0
     rate: int = 0
     samples: int = 0
     offsets: list[int] = field(default_factory=list)
@@ -176,15 +180,34 @@ class Parsed:
         return out
 
 
+def _frame_body(body: bytes, flags: int, old: bool) -> bytes:
+    """What a tag's frame holds, without unsynchronisation and compression; as it is if that can't be undone."""
+    if not old and flags & 0x02:
+        body = body.replace(b"\xff\0", b"\xff")
+    packed = flags & (0x80 if old else 0x08)
+    if packed or not old and flags & 0x01:
+        body = body[4:]  # the size before compression
+    try:
+        return zlib.decompress(body) if packed else body
+    except zlib.error:
+        return body
+
+
 def _read_tags(data: bytes, out: Parsed) -> tuple[int, int]:
     """Where frames begin and end between the tags at both ends. A tag at the end counts until `parse` finds a whole frame over its start."""
     start, end = 0, len(data)
     while data[start : start + 3] == b"ID3" and start + 10 <= end:
         size = _unsafe(data[start + 6 : start + 10])
-        stop, i, old = min(end, start + 10 + size), start + 10, data[start + 3] < 4
-        while i + 10 <= stop and data[i] != 0:
-            width = struct.unpack(">I", data[i + 4 : i + 8])[0] if old else _unsafe(data[i + 4 : i + 8])
-            name, body = data[i : i + 4].decode("latin-1"), data[i + 10 : min(stop, i + 10 + width)]
+        old, flags = data[start + 3] < 4, data[start + 5]
+        tag = data[start + 10 : min(end, start + 10 + size)]
+        if old and flags & 0x80:
+            tag = tag.replace(b"\xff\0", b"\xff")  # unsynchronised as a whole
+        i = 0
+        if flags & 0x40 and len(tag) >= 4:  # an extended header, whose size counts itself in the newer version only
+            i = 4 + struct.unpack(">I", tag[:4])[0] if old else _unsafe(tag[:4])
+        while i + 10 <= len(tag) and tag[i] != 0:
+            width = struct.unpack(">I", tag[i + 4 : i + 8])[0] if old else _unsafe(tag[i + 4 : i + 8])
+            name, body = tag[i : i + 4].decode("latin-1"), _frame_body(tag[i + 10 : i + 10 + width], tag[i + 9], old)
             if name == "PRIV" and b"\0" in body:
                 owner, body = body.split(b"\0", 1)
                 name = f"PRIV:{owner.decode('latin-1')}"
@@ -219,9 +242,12 @@ def parse(data: bytes) -> Parsed:
             continue
         synced = True
         body = i + 4 + 2 * h.protected
-        if h.protected and h.layer == 3:
+        if h.protected and h.layer == 2:
+            out.unchecked += 1
+        elif h.protected:
             out.checked += 1
-            out.bad += _check(data[i + 2 : i + 4] + data[body : body + h.side]) != struct.unpack(">H", data[i + 4 : i + 6])[0]
+            covered = h.side if h.layer == 3 else _allocation(data[i + 3])
+            out.bad += _check(data[i + 2 : i + 4] + data[body : body + covered]) != struct.unpack(">H", data[i + 4 : i + 6])[0]
         at = body + h.side
         if not out.offsets and not out.table and _read_table(data, i, at, h, out):
             i += h.size
@@ -236,6 +262,12 @@ def parse(data: bytes) -> Parsed:
     return out
 
 
+def _allocation(modes: int) -> int:
+    """Bytes of a layer I frame's bit allocation: four bits for each subband and channel, one for both from the bound of joint stereo on."""
+    mode, bound = modes >> 6, 4 * ((modes >> 4 & 3) + 1)
+    return 16 if mode == 3 else 16 + bound // 2 if mode == 1 else 32
+
+
 def _alike(a: Header | None, b: Header) -> bool:
     return a is not None and (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
 
@@ -259,6 +291,9 @@ def _read_table(data: bytes, i: int, at: int, h: Header, out: Parsed) -> bool:
     if h.layer == 3 and data[i + 36 : i + 40] == b"VBRI":
         out.table, out.rate = "VBRI", h.rate
         out.table_frames = struct.unpack(">I", data[i + 50 : i + 54])[0]
+        entries, scale, width, _ = struct.unpack(">HHHH", data[i + 54 : i + 62].ljust(8, b"\0"))
+        steps = [int.from_bytes(data[k : k + width], "big") * scale for k in range(i + 62, min(i + 62 + entries * width, i + h.size - width + 1), width)] if 1 <= width <= 4 else []
+        out.seek = list(accumulate(steps))
         return True
     return False
 

@@ -656,6 +656,23 @@ def test_media_of_other_writers():
     assert (found.table, found.table_frames, len(found.offsets), found.rate) == ("VBRI", 4, 4, 44100)
     assert found.duration == 4 * 1152 / media.Fraction(44100)
     assert media.features(media.parse(b"")).startswith("mp3 rate=0")
+    vbri[54:62], vbri[62:70] = struct.pack(">HHHH", 4, 1, 2, 1), struct.pack(">HHHH", 417, 417, 417, 417)
+    assert media.parse(bytes(vbri) + frame * 4).seek == [417, 834, 1251, 1668]
+    for modes, n in ((0xC0, 16), (0x00, 32), (0x50, 20)):  # layer I with a checksum: mono, stereo, joint from subband 8 on
+        h = bytes([0xFF, 0xFE, 0x14, modes])
+        rest = bytes(range(26))
+        good = h + struct.pack(">H", media.crc16(h[2:] + rest[:n].ljust(n, b"\0"))) + rest
+        size = media.header(h).size
+        whole = good.ljust(size, b"\0")[:size] * 3
+        found = media.parse(whole)
+        assert (found.checked, found.bad) == (3, 0 if n <= 26 else found.bad) and media.parse(whole[:7] + b"\x55" + whole[8:]).bad >= 1
+    plain = b"TIT2" + struct.pack(">I", 6) + b"\0\0" + b"\0a\xff\xe0bc"
+    loose = plain.replace(b"\xff\xe0", b"\xff\0\xe0")
+    tag = b"ID3\3\0\x80" + media._syncsafe(len(loose)) + loose
+    assert media.parse(tag + frame * 2).tags["TIT2"] == b"\0a\xff\xe0bc"
+    body = zlib.compress(b"\0" + b"x" * 90)
+    packed = b"TXXX" + media._syncsafe(len(body) + 4) + b"\0\x09" + media._syncsafe(91) + body
+    assert media.parse(b"ID3\4\0\0" + media._syncsafe(len(packed)) + packed + frame * 2).tags["TXXX"] == b"\0" + b"x" * 90
     layer1 = bytes([0xFF, 0xFF, 0x14, 0xC0])  # MPEG-1 layer I, 32 kbit/s, 48 kHz
     assert media.header(layer1).size == 32 and media.header(layer1).samples == 384
     assert media.header(b"\xff\xe3\x18\xc4").samples == 576  # MPEG-2.5 layer III
