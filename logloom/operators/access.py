@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.model import small
@@ -38,6 +38,20 @@ def authorize(requests: DataFrame, entries: DataFrame, request_id: str = "reques
     return requests.select(request_id).join(votes, request_id, "left").select(request_id, F.coalesce(F.col("allow") & ~F.col("deny"), F.lit(False)).alias("allowed"))
 
 
+def coded(name: Column, codes: dict[str, int], default: str | None = None) -> Column:
+    """The code of a name as interfaces write it (`ClusterAction` for cluster_action). An unknown name is null, or the default's code, which some
+    interfaces take instead."""
+    pairs = [F.lit(x) for k, code in codes.items() for x in ("".join(w.title() for w in k.split("_")), code)]
+    return F.coalesce(F.element_at(F.create_map(*pairs), name), F.lit(codes[default] if default else None)).cast("byte")
+
+
+def parsed(rows: DataFrame, defaults: bool = False) -> DataFrame:
+    """Rows with the names in resource_type, pattern_type, operation and permission_type replaced by their codes. With `defaults`, unknown names
+    become topic, literal, read and allow; without, null, which matches no request."""
+    kinds = {"resource_type": (RESOURCE_TYPES, "topic"), "pattern_type": (PATTERN_TYPES, "literal"), "operation": (OPERATIONS, "read"), "permission_type": (PERMISSIONS, "allow")}
+    return rows.withColumns({c: coded(F.col(c), codes, usual if defaults else None) for c, (codes, usual) in kinds.items()})
+
+
 def matching(entries: DataFrame, **wanted) -> DataFrame:
     """Entries that equal every value given (of the seven columns); those not given don't matter, the resource type included."""
     for column, value in wanted.items():

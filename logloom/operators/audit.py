@@ -42,6 +42,11 @@ def page(events: DataFrame, offset: int = 0, limit: int = 0, order: str = "seq")
     return found.limit(limit) if limit > 0 else found
 
 
+def page_with_total(events: DataFrame, offset: int = 0, limit: int = 0, order: str = "seq") -> DataFrame:
+    """`page` with `total`, the number of events that it is a page of."""
+    return page(events, offset, limit, order).withColumn("total", F.lit(events.count()).cast("long"))
+
+
 def page_compat(events: DataFrame, offset: int = 0, limit: int = 0, order: str = "seq") -> DataFrame:
     """`page` as stores do it that ignore an offset past the end and give everything from the start."""
     total = events.count()

@@ -76,3 +76,23 @@ def acl_add(spark, d):
 def acl_describe(spark, d):
     one = lambda e: F.concat(e.principal, F.lit("@"), e.host, F.lit(":"), e.operation.cast("string"), F.lit(":"), e.permission_type.cast("string"))
     return C.described(_entries(spark)).withColumn("entries", F.array_join(F.transform("entries", one), ","))
+
+
+NAMES = [("Topic", "Literal", "Read", "Allow"), ("Group", "Prefixed", "ClusterAction", "Deny"), ("Cluster", "Literal", "All", "Deny"), ("Planet", "Exact", "Dance", "Maybe")]
+NAMED = "named AS (SELECT * FROM (VALUES " + ", ".join(map(str, NAMES)) + ") AS n(resource_type, pattern_type, operation, permission_type))"
+CODED = """SELECT CAST(CASE resource_type WHEN 'Topic' THEN 2 WHEN 'Group' THEN 3 WHEN 'Cluster' THEN 4 {0} END AS TINYINT) AS resource_type, CAST(CASE pattern_type WHEN 'Literal' THEN 3 WHEN 'Prefixed' THEN 4 {1} END AS TINYINT) AS pattern_type,
+    CAST(CASE operation WHEN 'All' THEN 2 WHEN 'Read' THEN 3 WHEN 'ClusterAction' THEN 9 {2} END AS TINYINT) AS operation, CAST(CASE permission_type WHEN 'Deny' THEN 2 WHEN 'Allow' THEN 3 {3} END AS TINYINT) AS permission_type FROM named"""
+
+
+def _named(spark):
+    return spark.createDataFrame(NAMES, "resource_type string, pattern_type string, operation string, permission_type string")
+
+
+@query(with_views(NAMED) + CODED.format("", "", "", ""))
+def acl_parse(spark, d):
+    return C.parsed(_named(spark))
+
+
+@query(with_views(NAMED) + CODED.format("ELSE 2", "ELSE 3", "ELSE 3", "ELSE 3"))
+def acl_parse_compat(spark, d):
+    return C.parsed(_named(spark), defaults=True)

@@ -28,6 +28,11 @@ def audit_page(spark, d):
     return A.page(A.audit_filter(V.audit(spark, d), severity="error"), 50, 25)
 
 
+@query(WITH + "SELECT *, (SELECT count(*) FROM audit WHERE severity = 'error') AS total FROM audit WHERE severity = 'error' ORDER BY seq LIMIT 25 OFFSET 50")
+def audit_page_total(spark, d):
+    return A.page_with_total(A.audit_filter(V.audit(spark, d), severity="error"), 50, 25)
+
+
 @query(WITH + "SELECT * FROM audit WHERE severity = 'error' ORDER BY seq LIMIT 25")
 def audit_page_compat(spark, d):
     return A.page_compat(A.audit_filter(V.audit(spark, d), severity="error"), 1_000_000_000, 25)

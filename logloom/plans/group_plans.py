@@ -55,6 +55,12 @@ def dead_members(spark, d):
     return G.expire_members(_groups(spark).withColumn("generation", F.lit(5)), _members(spark, d), 6500)
 
 
+@query(with_views(MEMBERS) + "SELECT group_id, member_id, 'stable' AS kind FROM members WHERE member_id % 5 <> 0 UNION ALL SELECT group_id, member_id, 'pending' FROM members WHERE member_id % 5 = 0")
+def all_members(spark, d):
+    m = _members(spark, d).select("group_id", "member_id")
+    return G.all_members(m.where("member_id % 5 <> 0").withColumn("kind", F.lit("stable")), m.where("member_id % 5 = 0").withColumn("kind", F.lit("pending")))
+
+
 ACTIONS = """actions AS (SELECT 'g' || user_id AS group_id, CASE event_id % 5 WHEN 1 THEN 'sync' WHEN 2 THEN 'heartbeat' WHEN 3 THEN 'leave' ELSE 'join' END AS action, 'm' || (event_id % 3) AS member_id,
     row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)"""
 

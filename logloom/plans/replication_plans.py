@@ -127,3 +127,10 @@ def acks_wait(spark, d):
     produced = V.marks(spark, d).withColumn("k", F.explode(F.array(*(F.lit(k) for k in (0, 1, 2, 4, 8)))))
     produced = produced.select("topic", "partition", (F.col("hwm") - F.col("k")).alias("offset"), F.when(F.col("k") == 2, 1).otherwise(-1).alias("acks"))
     return R.acknowledged(produced, R.replicated_mark(states, _isr(states)))
+
+
+@query(with_views(RECORDS, HWM, REPLICAS) + """SELECT topic, "partition", array_to_string(replicas, ',') AS replicas FROM (SELECT topic, "partition", CASE WHEN "partition" = 2 THEN [replicas[1], replicas[1], replicas[3]] ELSE replicas END AS replicas FROM replicas) WHERE len(list_distinct(replicas)) <> len(replicas)""")
+def invalid_assignments(spark, d):
+    r = F.col("replicas")
+    rows = V.replicas(V.marks(spark, d)).withColumn("replicas", F.when(F.col("partition") == 2, F.array(r[0], r[0], r[2])).otherwise(r))
+    return R.invalid_assignments(rows).withColumn("replicas", F.array_join(F.col("replicas").cast("array<string>"), ","))

@@ -98,6 +98,13 @@ def produce_rows(spark, d):
     return produce(e).select("event_id", "partition", F.decode("value", "UTF-8").alias("value"), "error")
 
 
+@query("SELECT event_id, CAST(0 AS INTEGER) AS \"partition\", CASE WHEN event_id % 3 = 1 THEN NULL ELSE props END AS value, CASE WHEN event_id % 3 = 1 THEN 'bad value' END AS error FROM events")
+def produce_base64(spark, d):
+    coded = F.base64(F.encode("props", "UTF-8"))
+    e = V.table(spark, d, "events").select("event_id", F.lit(None).cast("int").alias("partition"), F.lit("k").alias("key"), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("*"), coded)).otherwise(coded).alias("value"))
+    return produce(e, value_format="base64").select("event_id", "partition", F.decode("value", "UTF-8").alias("value"), "error")
+
+
 @query("SELECT * FROM (VALUES ('fresh', NULL, true), ('view', 'exists', false), ('none', 'invalid partitions', false)) AS t(name, error, created)")
 def create_topics_check(spark, d):
     requests = spark.createDataFrame([("fresh", 3), ("view", 1), ("none", 0)], "name string, partitions int")
