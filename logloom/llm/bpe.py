@@ -26,7 +26,7 @@ LEAF = 16
 NEVER = 1 << 62
 #: How many distinct pieces (and pairs of tokens) a generation of a worker's memory holds. There are two: what is asked for again moves to
 #: the young one, and when that is full the old one is forgotten.
-REMEMBER = 64_000
+REMEMBER = 128_000
 
 
 class _Memory(dict):
