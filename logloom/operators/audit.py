@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.model import small
+
 
 def audit_filter(
     events: DataFrame,
@@ -146,3 +149,29 @@ def csv_lines_compat(events: DataFrame, order: str = "seq") -> DataFrame:
     fields = [rfc3339(F.col("ts_ms")), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CSV_COLUMNS[1:])]
     header = events.sparkSession.createDataFrame([(-1, ",".join(CSV_COLUMNS))], "seq long, line string")
     return header.unionByName(events.select(F.col(order).cast("long").alias("seq"), F.concat_ws(",", *fields).alias("line")))
+
+
+def rotate(events: DataFrame, max_bytes: int, order: str = "seq", stretch: int = 100_000) -> DataFrame:
+    """order, ts_ms, line, bytes, file: events as JSON lines, dealt in order to files of at most `max_bytes` (a longer line has its own).
+
+    A line's file follows from the bytes before it, which are summed by stretches of the order and chained, so files can be written side by side. Each
+    leaves room for the longest line.
+    """
+    lines = events.select(order, "ts_ms", F.to_json(F.struct(*events.columns)).alias("line")).withColumn("bytes", F.octet_length("line") + 1)
+    lines = lines.withColumn("_stretch", F.floor(F.col(order) / F.lit(stretch)))
+    sums = lines.groupBy("_stretch").agg(F.sum("bytes").alias("_sum"), F.max("bytes").alias("_long"))
+    earlier = W.orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)  # a row for each stretch
+    begins = sums.select("_stretch", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"), F.max("_long").over(W.partitionBy(F.lit(0))).alias("_room"))
+    inside = F.sum("bytes").over(W.partitionBy("_stretch").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("bytes")
+    placed = lines.withColumn("_inside", inside).join(small(begins), "_stretch")
+    file = F.floor((F.col("_base") + F.col("_inside")) / F.greatest(F.lit(max_bytes) - F.col("_room"), F.lit(1)))
+    return placed.select(order, "ts_ms", "line", F.col("bytes").cast("long").alias("bytes"), file.cast("long").alias("file"))
+
+
+def rotated_files(rotated: DataFrame, most: int, now_ms: int, max_age_ms: int) -> DataFrame:
+    """file, n, bytes, newest_ms, kept: the open file stays, and of the others the newest `most` that are not too old. A limit of 0 is none."""
+    files = rotated.groupBy("file").agg(F.count("*").alias("n"), F.sum("bytes").cast("long").alias("bytes"), F.max("ts_ms").alias("newest_ms"))
+    place = F.row_number().over(W.orderBy(F.desc("file")))  # a row for each file
+    few = (F.col("_place") <= most + 1) | F.lit(most <= 0)
+    young = (F.lit(now_ms) - F.col("newest_ms") <= max_age_ms) | F.lit(max_age_ms <= 0)
+    return files.withColumn("_place", place).withColumn("kept", (F.col("_place") == 1) | (few & young)).drop("_place")

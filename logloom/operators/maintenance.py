@@ -165,6 +165,14 @@ def verify_counts(log: DataFrame, index: DataFrame) -> DataFrame:
     return both.withColumn("consistent", F.col("records") == F.col("entries"))
 
 
+def rebuild_index(records: DataFrame) -> DataFrame:
+    """topic, partition, segment, offset, position, timestamp: the index entries of all records, from the records alone. Positions are bytes from
+    the start of a segment, whose size bounds what a task sorts."""
+    before = W.partitionBy(*LOG, "segment").orderBy("offset").rowsBetween(W.unboundedPreceding, -1)
+    position = F.coalesce(F.sum("bytes").over(before), F.lit(0)).cast("long")
+    return records.select(*LOG, "segment", "offset", position.alias("position"), "timestamp")
+
+
 def assign_segments(records: DataFrame, max_bytes: int) -> DataFrame:
     """`records` with `segment` from 0: a new one begins before a record if what the open one holds has reached `max_bytes`.
 

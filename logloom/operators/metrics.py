@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.model import small
+from logloom.model import dense_offsets, small
 
 
 def increases(samples: DataFrame, series: Sequence[str]) -> DataFrame:
@@ -144,12 +144,31 @@ def profile_top(samples: DataFrame, n: int = 10) -> DataFrame:
     return by.orderBy(F.desc("total"), "function").limit(n).select("function", "total", (F.col("total") * 100.0 / F.lit(whole or 1.0)).alias("percent"))
 
 
-def moving_average(rows: DataFrame, series: Sequence[str], alpha: float = 0.2, truncated: bool = False) -> DataFrame:
-    """series, ema: an exponential average folded in order, from 0; `truncated` cuts every step to a whole number."""
+def moving_average(rows: DataFrame, series: Sequence[str], alpha: float = 0.2, truncated: bool = False, stretch: int = 10_000) -> DataFrame:
+    """series, ema: an exponential average folded in order, from 0; `truncated` cuts every step to a whole number.
+
+    Stretches of so many rows are folded side by side; a row for each stretch is left to be chained. A stretch is linear in the value that it starts
+    from. A truncated one is not, but it never falls as that value grows: folding the least and the greatest value that the series allows leaves the few
+    whole numbers (five at most after some hundred rows) that the next stretch can start from, and it is folded from each of these.
+    """
     step = lambda a, x: (F.lit(alpha) * x.value + F.lit(1 - alpha) * a)
     fold = (lambda a, x: F.floor(step(a, x)).cast("double")) if truncated else step
-    held = rows.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct("ts_ms", "value"))).alias("v"))
-    return held.select(*series, F.aggregate("v", F.lit(0.0), fold).alias("ema"))
+    numbered = dense_offsets(rows.select(*series, "ts_ms", "value"), tuple(series), F.floor(F.col("ts_ms") / F.lit(3_600_000)), "ts_ms", "value")
+    placed = numbered.select(*series, F.expr(f"offset div {stretch}").alias("_s"), F.struct("offset", "value").alias("_x"))
+    held = placed.groupBy(*series, "_s").agg(F.array_sort(F.collect_list("_x")).alias("_v"))
+    along = lambda *parts: F.array_sort(F.collect_list(F.struct("_s", *parts)))
+    if not truncated:
+        parts = held.select(*series, "_s", F.pow(F.lit(1 - alpha), F.size("_v")).alias("keeps"), F.aggregate("_v", F.lit(0.0), fold).alias("adds"))
+        return parts.groupBy(*series).agg(along("keeps", "adds").alias("_p")).select(*series, F.aggregate("_p", F.lit(0.0), lambda a, p: a * p.keeps + p.adds).alias("ema"))
+    least, greatest = F.floor(F.least(F.min("value"), F.lit(0.0))) - 1, F.ceil(F.greatest(F.max("value"), F.lit(0.0))) + 1
+    bounds = rows.groupBy(*series).agg(least.cast("double").alias("_least"), greatest.cast("double").alias("_greatest"))
+    ends = held.join(small(bounds), list(series)).select(*series, (F.col("_s") + 1).alias("_s"), *(F.aggregate("_v", F.col(c), fold).cast("long").alias(c) for c in ("_least", "_greatest")))
+    met = held.join(ends, [*series, "_s"], "left")
+    low = F.coalesce("_least", F.lit(0).cast("long"))
+    starts = F.sequence(low, F.coalesce("_greatest", F.lit(0).cast("long")))
+    parts = met.select(*series, "_s", low.alias("low"), F.transform(starts, lambda a: F.aggregate("_v", a.cast("double"), fold)).alias("ends"))
+    chain = lambda a, p: F.get(p.ends, (a - p.low).cast("int"))
+    return parts.groupBy(*series).agg(along("low", "ends").alias("_p")).select(*series, F.aggregate("_p", F.lit(0.0), chain).alias("ema"))
 
 
 def rolling(samples: DataFrame, series: Sequence[str], n: int = 30) -> DataFrame:

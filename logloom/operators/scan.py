@@ -3,6 +3,9 @@ reach the Parquet scan and prune row groups of tables sorted by offset."""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,6 +122,22 @@ def is_json(value: Column) -> Column:
     return F.try_parse_json(value).isNotNull()
 
 
+def pretty(value: Column, indent: int = 2) -> Column:
+    """JSON over several lines, for display; what is no JSON stays as it is."""
+
+    @F.pandas_udf("string")
+    def laid_out(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return text if text is None else json.dumps(json.loads(text), indent=indent, ensure_ascii=False)
+            except (ValueError, RecursionError):
+                return text
+
+        return texts.map(one)
+
+    return F.when(is_json(value), laid_out(value)).otherwise(value)
+
+
 def metadata(requested: DataFrame, replicas: DataFrame, broker: int = 1) -> DataFrame:
     """topic, error, partitions: an array of (partition, leader, replicas) in order. Unknown topics have error 3; missing replicas are
     this broker."""

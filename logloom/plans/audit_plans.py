@@ -109,3 +109,14 @@ def audit_derive(spark, d):
         "event_id", pick(4, "acl", "topic", "data", "auth").alias("area"), pick(5, "create", "deny", "consume", "failure", "delete").alias("operation"), F.when(F.col("event_id") % 3 == 0, "broken").otherwise("").alias("error")
     )
     return A.derive(o).select("event_id", "event_type", "severity", "result")
+
+
+@query(
+    WITH
+    + """, lines AS (SELECT seq, ts_ms, strlen(CAST(to_json(audit) AS VARCHAR)) + 1 AS bytes FROM audit), placed AS (SELECT *, CAST((sum(bytes) OVER (ORDER BY seq) - bytes) // (20000 - (SELECT max(bytes) FROM lines)) AS BIGINT) AS file FROM lines),
+    files AS (SELECT file, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, max(ts_ms) AS newest_ms FROM placed GROUP BY file)
+    SELECT *, file = (SELECT max(file) FROM files) OR (row_number() OVER (ORDER BY file DESC) <= 6 AND 1706745600000 - newest_ms <= 1814400000) AS kept FROM files"""
+)
+def audit_rotated(spark, d):
+    """Files of at most 20,000 bytes, of which five are kept beside the open one."""
+    return A.rotated_files(A.rotate(V.audit(spark, d), 20_000), 5, 1706745600000, 1_814_400_000)

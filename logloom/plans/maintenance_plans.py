@@ -149,6 +149,14 @@ def verify_index(spark, d):
     return M.verify_counts(rows, rows.where("offset <> 7"))
 
 
+@query(
+    with_views(RECORDS, SEGMENTED)
+    + """SELECT topic, "partition", segment, "offset", CAST(coalesce(sum(bytes) OVER (PARTITION BY topic, "partition", segment ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position, "timestamp" FROM segmented"""
+)
+def index_rebuilt(spark, d):
+    return M.rebuild_index(V.segmented(V.records(spark, d)))
+
+
 @query(
     with_views(RECORDS)
     .replace("WITH ", "WITH RECURSIVE ", 1)

@@ -94,6 +94,12 @@ def message_preview(spark, d):
     return V.table(spark, d, "documents").select("doc_id", S.preview(F.col("text")).alias("preview"), F.coalesce(S.is_json(F.col("text")), F.lit(False)).alias("is_json"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN props || '}' ELSE json_pretty(props) END AS shown FROM events")
+def message_pretty(spark, d):
+    value = F.when(F.col("event_id") % 5 == 0, F.concat("props", F.lit("}"))).otherwise(F.col("props"))
+    return V.table(spark, d, "events").select("event_id", S.pretty(value, 4).alias("shown"))
+
+
 @query(
     with_views(RECORDS, HWM, REPLICAS)
     + """, q AS (SELECT * FROM (VALUES ('view'), ('nothing')) AS q(topic))

@@ -14,7 +14,7 @@ from logloom.plans.views import COMMITS, HWM, RECORDS, with_views
 from logloom.sources.sinks import decode_logs, group_export, read_jsonl, shared_folder, write_jsonl, write_log_files
 from logloom.sources.writes import LogTable, create_topics, produce
 from logloom.streaming.ingest import file_stream, run_ingest
-from logloom.streaming.windows import first_only, sessions, windowed
+from logloom.streaming.windows import first_only, session_timeouts, sessions, windowed
 
 
 def _events(spark, d):
@@ -65,6 +65,22 @@ def stream_ingest(spark, d):
     return table.read().select("topic", "partition", "offset", "key", "value")
 
 
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS member_id, epoch_us(max(ts)) // 1000 AS last_ms, (SELECT epoch_us(max(ts)) // 1000 FROM events) - 3600000 > epoch_us(max(ts)) // 1000 + 21600000 AS expired
+    FROM events GROUP BY user_id"""
+)
+def session_timeout_stream(spark, d):
+    """Heartbeats as a stream: the last state of each member, once the stream's end has moved event time on."""
+    folder = f"{shared_folder(spark)}/timeouts-{uuid.uuid4().hex}"
+    stream = file_stream(spark, d, "events.parquet", V.table(spark, d, "events").schema)
+    beats = stream.select(F.col("user_id").cast("string").alias("member_id"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
+    states = session_timeouts(beats, 21_600_000)
+    keep = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/states/batch={batch}")
+    states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("member_id string, state string, last_ms long, batch long").parquet(f"{folder}/states")
+    return found.groupBy("member_id").agg(F.max("last_ms").alias("last_ms"), (F.max_by("state", "batch") == "expired").alias("expired"))
+
+
 @query(with_views(RECORDS) + 'SELECT topic, "partition", "offset", "timestamp", key, value FROM records')
 def framed_log_roundtrip(spark, d):
     """Records framed into segment files and read back."""

@@ -37,6 +37,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
+def write_rotated(rotated: DataFrame, path: str, order: str = "seq", compression: str = "none") -> None:
+    """The lines of `audit.rotate`, each file as a text file of its own (optionally gzip) in order."""
+    rows = rotated.repartition("file").sortWithinPartitions("file", order)
+    rows.select("file", "line").write.mode("overwrite").option("compression", compression).partitionBy("file").text(path)
+
+
 #: The fields of an exported group.
 GROUP_FIELDS = ("protocol_type", "state", "generation", "leader", "offsets")
 

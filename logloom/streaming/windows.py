@@ -45,9 +45,10 @@ def session_timeouts(heartbeats: DataFrame, timeout_ms: int) -> DataFrame:
         last = state.get[0] if state.exists else 0
         for pdf in batches:
             if len(pdf):
-                last = max(last, int(pdf["ts"].max().timestamp() * 1000))
+                last = max(last, int(pdf["_ms"].max()))
         state.update((last,))
         state.setTimeoutTimestamp(max(last + timeout_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"member_id": [key[0]], "state": ["alive"], "last_ms": [last]})
 
-    return heartbeats.groupBy("member_id").applyInPandasWithState(step, "member_id string, state string, last_ms long", "last_ms long", "update", GroupStateTimeout.EventTimeTimeout)
+    beats = heartbeats.select("member_id", "ts", F.unix_millis("ts").alias("_ms"))
+    return beats.groupBy("member_id").applyInPandasWithState(step, "member_id string, state string, last_ms long", "last_ms long", "update", GroupStateTimeout.EventTimeTimeout)

@@ -1,5 +1,6 @@
 """Cases that the given tables don't hold: compaction, retention, look-ups by time, replicas, states and codecs."""
 
+import json
 import zlib
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from logloom.functions import codec
 from logloom.operators import access, audit, groups, maintenance, metrics, offsets, replication, scan, schemas, tiering
 from logloom.sources import sinks
-from logloom.sources.writes import LogTable, produce
+from logloom.sources.writes import LogTable, hashed_partition, produce
 
 RECORDS = "topic string, partition int, offset long, timestamp long, key string, value string, bytes long, segment long"
 
@@ -287,3 +288,61 @@ def test_windows_and_dedup_on_a_stream(spark, tmp_path):
     assert {(r["k"], r["n"], r["total"]) for r in run("tumbled", lambda s: windowed(s, ["k"], "10 minutes", delay="5 minutes"))} == {("a", 3, 5), ("b", 1, 5)}
     assert {(r["k"], r["n"]) for r in run("sessioned", lambda s: sessions(s, ["k"], "10 minutes", delay="5 minutes"))} == {("a", 3), ("b", 1)}
     assert len(run("deduped", lambda s: first_only(s, ["k", "ts", "value"]))) == 4
+
+
+@pytest.mark.parametrize("stretch", [7, 40, 10_000])
+def test_averages_by_stretches(spark, stretch):
+    import math
+    import random
+
+    draw = random.Random(3)
+    rows = [(s, t, float(draw.randrange(-50, 400) if s else draw.randrange(0, 9))) for s in range(3) for t in range(190 + s)] + [(9, 0, 12.0)]
+    frame = spark.createDataFrame(rows, "s int, ts_ms long, value double")
+    for truncated in (True, False):
+        want = {}
+        for s, _, x in rows:
+            a = 0.2 * x + (1 - 0.2) * want.get(s, 0.0)
+            want[s] = float(math.floor(a)) if truncated else a
+        found = {r["s"]: r["ema"] for r in metrics.moving_average(frame, ["s"], truncated=truncated, stretch=stretch).collect()}
+        assert found == (want if truncated else pytest.approx(want, rel=1e-12))
+
+
+def test_average_of_nothing(spark):
+    empty = spark.createDataFrame([], "s int, ts_ms long, value double")
+    assert metrics.moving_average(empty, ["s"], truncated=True).count() == metrics.moving_average(empty, ["s"]).count() == 0
+
+
+def test_rotated_files_hold_no_more_than_asked(spark, tmp_path):
+    from logloom.sources.sinks import write_rotated
+
+    rows = [(i, 1_000 * i, "x" * (i * 37 % 90)) for i in range(400)]
+    events = spark.createDataFrame(rows, "seq long, ts_ms long, text string")
+    placed = audit.rotate(events, 1_000, stretch=30)
+    files = {r["file"]: r for r in audit.rotated_files(placed, 3, 400_000, 0).collect()}
+    assert sum(f["n"] for f in files.values()) == 400 and all(f["bytes"] <= 1_000 for f in files.values())
+    assert [f["kept"] for _, f in sorted(files.items())][-4:] == [True] * 4 and sum(f["kept"] for f in files.values()) == 4
+    old = {r["file"]: r["kept"] for r in audit.rotated_files(placed, 0, 400_000, 20_000).collect()}
+    assert all(kept == (files[k]["newest_ms"] >= 380_000) for k, kept in old.items())
+    write_rotated(placed, str(tmp_path / "log"), compression="gzip")
+    assert len(list((tmp_path / "log").glob("file=*/*.gz"))) == len(files)
+    back = spark.read.text(str(tmp_path / "log")).select("value").collect()
+    assert sorted(json.loads(r["value"])["seq"] for r in back) == list(range(400))
+    assert audit.rotate(events.limit(0), 10).count() == 0
+
+
+def test_longer_lines_than_a_file(spark):
+    events = spark.createDataFrame([(i, 0, "y" * 50) for i in range(3)], "seq long, ts_ms long, text string")
+    assert audit.rotate(events, 10).select("file").distinct().count() == 3
+
+
+def test_pretty_json(spark):
+    values = ['{"b":[1,{"c":null}],"a":"\u00e4"}', "plain", None, "", "[]"]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    shown = [r["p"] for r in frame.select("i", scan.pretty(F.col("v")).alias("p")).orderBy("i").collect()]
+    assert shown == ['{\n  "b": [\n    1,\n    {\n      "c": null\n    }\n  ],\n  "a": "ä"\n}', "plain", None, "", "[]"]
+
+
+def test_hashed_partitions(spark):
+    found = spark.range(4000).select(hashed_partition(F.col("id").cast("string").cast("binary"), 4).alias("p"))
+    counts = {r["p"]: r["count"] for r in found.groupBy("p").count().collect()}
+    assert set(counts) == {0, 1, 2, 3} and min(counts.values()) > 800
