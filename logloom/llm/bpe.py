@@ -66,18 +66,17 @@ class Codec:
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding of a short string: merge the neighbours of lowest rank, the leftmost of equals, until none can merge."""
-        rank = self.ranks.get
-        parts = [data[i : i + 1] for i in range(len(data))]
-        ranked = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        ranks, rank = self.ranks, self.ranks.get
+        at = list(range(len(data) + 1))  # where the parts begin, and the end
+        ranked = [rank(data[i : i + 2], NEVER) for i in at[:-2]]
         while ranked and (best := min(ranked)) != NEVER:
             i = ranked.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranked[i]
+            del ranked[i], at[i + 1]
             if i:
-                ranked[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
+                ranked[i - 1] = rank(data[at[i - 1] : at[i + 1]], NEVER)
             if i < len(ranked):
-                ranked[i] = rank(parts[i] + parts[i + 1], NEVER)
-        return [self.ranks[p] for p in parts]
+                ranked[i] = rank(data[at[i] : at[i + 2]], NEVER)
+        return [ranks[data[i:j]] for i, j in zip(at, at[1:], strict=False)]
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether a, b is the encoding of their bytes."""
