@@ -1,7 +1,8 @@
 """Metric queries: rates, quantiles, alert conditions and label algebra over samples (series, ts_ms, value).
 
 Rates count resets of counters (a fall means that counting began anew) and divide by the window; they are not extrapolated to
-the window's edges. Windows are ordered within a series only. A series that is too long for one task can be cut by adding a
+the window's edges. Windows are ordered within a series only; samples of one time are taken in the order that `order` gives, by default the lower
+value first, as no reset can be told from them. A series that is too long for one task can be cut by adding a
 stretch of time to `series` together with the last sample of the stretch before.
 """
 
@@ -15,18 +16,20 @@ from pyspark.sql import functions as F
 
 from logloom.model import dense_offsets, small
 
+ORDER = ("ts_ms", "value")
 
-def increases(samples: DataFrame, series: Sequence[str]) -> DataFrame:
+
+def increases(samples: DataFrame, series: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
     """Samples with `inc`: what the counter has grown since the sample before (its value after a reset); null for the first."""
-    before = F.lag("value").over(W.partitionBy(*series).orderBy("ts_ms"))
+    before = F.lag("value").over(W.partitionBy(*series).orderBy(*order))
     inc = F.when(F.col("_before").isNull(), F.lit(None)).when(F.col("value") < F.col("_before"), F.col("value")).otherwise(F.col("value") - F.col("_before"))
     return samples.withColumn("_before", before).withColumn("inc", inc).drop("_before")
 
 
-def increase(samples: DataFrame, series: Sequence[str], window_ms: int) -> DataFrame:
+def increase(samples: DataFrame, series: Sequence[str], window_ms: int, order: Sequence[str] = ORDER) -> DataFrame:
     """series, window (its start), increase: the growth within each tumbling window, from a window's samples only."""
     start = (F.floor(F.col("ts_ms") / F.lit(window_ms)) * window_ms).cast("long")
-    inside = increases(samples.withColumn("window", start), [*series, "window"])
+    inside = increases(samples.withColumn("window", start), [*series, "window"], order)
     return inside.groupBy(*series, "window").agg(F.coalesce(F.sum("inc"), F.lit(0.0)).alias("increase"))
 
 

@@ -21,6 +21,8 @@ INC = f"""inc AS (SELECT topic, broker, w AS "window", CASE WHEN before IS NULL
     grown AS (SELECT topic, broker, CAST("window" AS BIGINT) AS "window", coalesce(sum(inc), 0.0) AS increase FROM inc GROUP BY ALL)"""
 WITH = with_views(SAMPLES, INC)
 SERIES = ("topic", "broker")
+# The order in which the counter went up: SQL's ts_ms alone leaves samples of one millisecond open.
+COUNTED = ("ts_ms", "run", "event_id")
 
 
 def _samples(spark, d):
@@ -28,7 +30,7 @@ def _samples(spark, d):
     e = V.table(spark, d, "events").select(F.col("event_type").alias("topic"), (F.col("user_id") % 3).cast("int").alias("broker"), epoch_ms(F.col("ts")).alias("ts_ms"), "ts", "event_id", F.floor("value").alias("v"), F.col("value").alias("gauge"))
     e = e.withColumn("n", F.row_number().over(own.orderBy("ts", "event_id")) - 1).withColumn("run", F.expr("n div 40"))
     value = F.sum("v").over(W.partitionBy("topic", "broker", "run").orderBy("ts_ms", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return e.select("topic", "broker", "ts_ms", "n", value.cast("double").alias("value"), "gauge")
+    return e.select("topic", "broker", "ts_ms", "n", value.cast("double").alias("value"), "gauge", "run", "event_id")
 
 
 def _gauge(spark, d):
@@ -37,7 +39,7 @@ def _gauge(spark, d):
 
 @query(WITH + "SELECT * FROM grown")
 def increase_daily(spark, d):
-    return M.increase(_samples(spark, d), SERIES, DAY)
+    return M.increase(_samples(spark, d), SERIES, DAY, COUNTED)
 
 
 @query(WITH + 'SELECT topic, broker, "window", round(increase / 86400, 9) AS rate FROM grown')
