@@ -33,9 +33,9 @@ def increase(samples: DataFrame, series: Sequence[str], window_ms: int, order: S
     return inside.groupBy(*series, "window").agg(F.coalesce(F.sum("inc"), F.lit(0.0)).alias("increase"))
 
 
-def rate(samples: DataFrame, series: Sequence[str], window_ms: int) -> DataFrame:
+def rate(samples: DataFrame, series: Sequence[str], window_ms: int, order: Sequence[str] = ORDER) -> DataFrame:
     """series, window, rate per second."""
-    return increase(samples, series, window_ms).select(*series, "window", (F.col("increase") / (window_ms / 1000.0)).alias("rate"))
+    return increase(samples, series, window_ms, order).select(*series, "window", (F.col("increase") / (window_ms / 1000.0)).alias("rate"))
 
 
 def rate_by(samples: DataFrame, series: Sequence[str], labels: Sequence[str], window_ms: int) -> DataFrame:

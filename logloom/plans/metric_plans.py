@@ -44,7 +44,7 @@ def increase_daily(spark, d):
 
 @query(WITH + 'SELECT topic, broker, "window", round(increase / 86400, 9) AS rate FROM grown')
 def rate_daily(spark, d):
-    return M.rate(_samples(spark, d), SERIES, DAY).withColumn("rate", F.round("rate", 9))
+    return M.rate(_samples(spark, d), SERIES, DAY, COUNTED).withColumn("rate", F.round("rate", 9))
 
 
 @query(WITH + 'SELECT topic, "window", round(sum(increase / 86400), 9) AS rate FROM grown GROUP BY ALL')

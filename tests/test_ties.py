@@ -73,3 +73,7 @@ def test_order_of_samples_at_one_time(spark):
 
 def test_increase_daily(spark, tied, dealt_anew, counted):
     assert rows_of(QUERIES["increase_daily"](spark, tied)) == {k: float(s) for k, (s, _) in counted.items()}
+
+
+def test_rate_daily(spark, tied, dealt_anew, counted):
+    assert rows_of(QUERIES["rate_daily"](spark, tied)) == {k: round(s / 86400, 9) for k, (s, _) in counted.items()}
