@@ -38,9 +38,9 @@ def rate(samples: DataFrame, series: Sequence[str], window_ms: int, order: Seque
     return increase(samples, series, window_ms, order).select(*series, "window", (F.col("increase") / (window_ms / 1000.0)).alias("rate"))
 
 
-def rate_by(samples: DataFrame, series: Sequence[str], labels: Sequence[str], window_ms: int) -> DataFrame:
+def rate_by(samples: DataFrame, series: Sequence[str], labels: Sequence[str], window_ms: int, order: Sequence[str] = ORDER) -> DataFrame:
     """labels, window, rate: rates of series summed by labels."""
-    return rate(samples, series, window_ms).groupBy(*labels, "window").agg(F.sum("rate").alias("rate"))
+    return rate(samples, series, window_ms, order).groupBy(*labels, "window").agg(F.sum("rate").alias("rate"))
 
 
 def mean_by_rates(sums: DataFrame, counts: DataFrame, series: Sequence[str], window_ms: int) -> DataFrame:

@@ -49,7 +49,7 @@ def rate_daily(spark, d):
 
 @query(WITH + 'SELECT topic, "window", round(sum(increase / 86400), 9) AS rate FROM grown GROUP BY ALL')
 def rate_by_label(spark, d):
-    return M.rate_by(_samples(spark, d), SERIES, ["topic"], DAY).withColumn("rate", F.round("rate", 9))
+    return M.rate_by(_samples(spark, d), SERIES, ["topic"], DAY, COUNTED).withColumn("rate", F.round("rate", 9))
 
 
 @query(

@@ -77,3 +77,10 @@ def test_increase_daily(spark, tied, dealt_anew, counted):
 
 def test_rate_daily(spark, tied, dealt_anew, counted):
     assert rows_of(QUERIES["rate_daily"](spark, tied)) == {k: round(s / 86400, 9) for k, (s, _) in counted.items()}
+
+
+def test_rate_by_label(spark, tied, dealt_anew, counted):
+    rates = defaultdict(float)
+    for (topic, _, window), (s, _) in counted.items():
+        rates[topic, window] += s / 86400
+    assert rows_of(QUERIES["rate_by_label"](spark, tied)) == {k: round(r, 9) for k, r in rates.items()}
