@@ -43,10 +43,13 @@ def rate_by(samples: DataFrame, series: Sequence[str], labels: Sequence[str], wi
     return rate(samples, series, window_ms, order).groupBy(*labels, "window").agg(F.sum("rate").alias("rate"))
 
 
-def mean_by_rates(sums: DataFrame, counts: DataFrame, series: Sequence[str], window_ms: int) -> DataFrame:
-    """series, window, mean: the rate of a sum over the rate of its count; null where nothing was counted."""
-    a = rate(sums, series, window_ms).withColumnRenamed("rate", "s")
-    b = rate(counts, series, window_ms).withColumnRenamed("rate", "c")
+def mean_by_rates(sums: DataFrame, counts: DataFrame, series: Sequence[str], window_ms: int, order: Sequence[str] = ORDER) -> DataFrame:
+    """series, window, mean: the rate of a sum over the rate of its count; null where nothing was counted. `order` is that of the sums.
+
+    Both rates are over the same seconds, which cancel: increases are divided, as a quotient of quotients would be rounded twice more.
+    """
+    a = increase(sums, series, window_ms, order).withColumnRenamed("increase", "s")
+    b = increase(counts, series, window_ms).withColumnRenamed("increase", "c")
     return a.join(b, [*series, "window"]).select(*series, "window", (F.col("s") / F.nullif(F.col("c"), F.lit(0.0))).alias("mean"))
 
 

@@ -59,7 +59,7 @@ def rate_by_label(spark, d):
 )
 def mean_by_rates(spark, d):
     s = _samples(spark, d)
-    return M.mean_by_rates(s, s.withColumn("value", F.col("n").cast("double")), SERIES, DAY).withColumn("mean", F.round("mean", 9))
+    return M.mean_by_rates(s, s.withColumn("value", F.col("n").cast("double")), SERIES, DAY, COUNTED).withColumn("mean", F.round("mean", 9))
 
 
 BOUNDS = (10.0, 25.0, 50.0, 100.0, 250.0)

@@ -84,3 +84,14 @@ def test_rate_by_label(spark, tied, dealt_anew, counted):
     for (topic, _, window), (s, _) in counted.items():
         rates[topic, window] += s / 86400
     assert rows_of(QUERIES["rate_by_label"](spark, tied)) == {k: round(r, 9) for k, r in rates.items()}
+
+
+def test_mean_is_rounded_once(spark):
+    def counter(to):
+        return spark.createDataFrame([("a", 0, 0.0), ("a", 1, to)], "topic string, ts_ms long, value double")
+
+    assert metrics.mean_by_rates(counter(345.0), counter(3072.0), ["topic"], DAY).first()["mean"] == 345 / 3072
+
+
+def test_mean_by_rates(spark, tied, dealt_anew, counted):
+    assert rows_of(QUERIES["mean_by_rates"](spark, tied)) == {k: round(s / n, 9) if n else None for k, (s, n) in counted.items()}
