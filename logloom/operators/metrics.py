@@ -177,6 +177,6 @@ def moving_average(rows: DataFrame, series: Sequence[str], alpha: float = 0.2, t
     return parts.groupBy(*series).agg(along("low", "ends").alias("_p")).select(*series, F.aggregate("_p", F.lit(0.0), chain).alias("ema"))
 
 
-def rolling(samples: DataFrame, series: Sequence[str], n: int = 30) -> DataFrame:
-    """Samples with `mean` over the last n of their series."""
-    return samples.withColumn("mean", F.avg("value").over(W.partitionBy(*series).orderBy("ts_ms").rowsBetween(-(n - 1), 0)))
+def rolling(samples: DataFrame, series: Sequence[str], n: int = 30, order: Sequence[str | Column] = ORDER) -> DataFrame:
+    """Samples with `mean` over the last n of their series, in the order that `order` gives."""
+    return samples.withColumn("mean", F.avg("value").over(W.partitionBy(*series).orderBy(*order).rowsBetween(-(n - 1), 0)))

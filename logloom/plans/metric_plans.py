@@ -30,7 +30,7 @@ def _samples(spark, d):
     e = V.table(spark, d, "events").select(F.col("event_type").alias("topic"), (F.col("user_id") % 3).cast("int").alias("broker"), epoch_ms(F.col("ts")).alias("ts_ms"), "ts", "event_id", F.floor("value").alias("v"), F.col("value").alias("gauge"))
     e = e.withColumn("n", F.row_number().over(own.orderBy("ts", "event_id")) - 1).withColumn("run", F.expr("n div 40"))
     value = F.sum("v").over(W.partitionBy("topic", "broker", "run").orderBy("ts_ms", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return e.select("topic", "broker", "ts_ms", "n", value.cast("double").alias("value"), "gauge", "run", "event_id")
+    return e.select("topic", "broker", "ts_ms", "n", value.cast("double").alias("value"), "gauge", "run", "ts", "event_id")
 
 
 def _gauge(spark, d):
@@ -172,4 +172,7 @@ def ema_fold(spark, d):
 
 @query(with_views(SAMPLES) + "SELECT topic, broker, ts_ms, gauge AS value, round(avg(gauge) OVER (PARTITION BY topic, broker ORDER BY ts_ms ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) AS mean FROM samples")
 def rolling_chart(spark, d):
-    return M.rolling(_gauge(spark, d), SERIES).withColumn("mean", F.round("mean", 6))
+    s = _samples(spark, d).drop("value").withColumnRenamed("gauge", "value")
+    # As events occurred: SQL's ts_ms alone leaves samples of one millisecond open. Events without a time come last there.
+    found = M.rolling(s, SERIES, order=(F.col("ts").asc_nulls_last(), "event_id"))
+    return found.select("topic", "broker", "ts_ms", "value", F.round("mean", 6).alias("mean"))

@@ -95,3 +95,40 @@ def test_mean_is_rounded_once(spark):
 
 def test_mean_by_rates(spark, tied, dealt_anew, counted):
     assert rows_of(QUERIES["mean_by_rates"](spark, tied)) == {k: round(s / n, 9) if n else None for k, (s, n) in counted.items()}
+
+
+def charted(events):
+    """(topic, broker, ts_ms, value, mean) of the last 30 of each log, in the order of (ts, event_id)."""
+    logs = defaultdict(list)
+    for i, ts, ms, user, kind, value in events:
+        logs[kind, user % 3].append((ts is None, ts or 0, i, ms, value))
+    found = []
+    for (kind, broker), log in logs.items():
+        values = []
+        for *_, ms, value in sorted(log):
+            values.append(value)
+            last = values[-30:]
+            found.append((kind, broker, ms, value, round(sum(last) / len(last), 6)))
+    return sorted(found, key=repr)
+
+
+def test_rolling_chart(spark, tied, dealt_anew, events):
+    got = [tuple(r) for r in QUERIES["rolling_chart"](spark, tied).collect()]
+    assert sorted(got, key=repr) == charted((i, ms, ms, user, kind, value) for i, ms, user, kind, value in events)
+
+
+def test_rolling_chart_by_microseconds_and_without_times(spark, tmp_path):
+    rng = random.Random(11)
+    start = datetime.datetime(2024, 1, 1)
+    times = [None if i % 9 == 0 else start + datetime.timedelta(microseconds=rng.randrange(5000)) for i in range(400)]
+    rows = [(i, t, i % 3, "view", round(rng.uniform(0, 50), 2), "{}") for i, t in enumerate(times)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    ms = lambda t: t and (t - datetime.datetime(1970, 1, 1)) // datetime.timedelta(milliseconds=1)
+    got = [tuple(r) for r in QUERIES["rolling_chart"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == charted((i, t, ms(t), user, kind, value) for i, t, user, kind, value, _ in rows)
+
+
+def test_rolling_of_samples_at_one_time(spark):
+    samples = spark.createDataFrame([("a", 0, 2, 5.0), ("a", 0, 3, 1.0), ("a", 0, 1, 9.0)], "s string, ts_ms long, n int, value double")
+    assert [r["mean"] for r in metrics.rolling(samples, ["s"], 2).orderBy("value").collect()] == [1.0, 3.0, 7.0]
+    assert [r["mean"] for r in metrics.rolling(samples, ["s"], 2, ("ts_ms", "n")).orderBy("n").collect()] == [9.0, 7.0, 3.0]
