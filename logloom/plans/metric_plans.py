@@ -25,11 +25,17 @@ SERIES = ("topic", "broker")
 COUNTED = ("ts_ms", "run", "event_id")
 
 
+def _last(*columns):
+    """Ascending, nulls last as in SQL."""
+    return [F.col(c).asc_nulls_last() for c in columns]
+
+
 def _samples(spark, d):
     own = W.partitionBy("topic", "broker")
     e = V.table(spark, d, "events").select(F.col("event_type").alias("topic"), (F.col("user_id") % 3).cast("int").alias("broker"), epoch_ms(F.col("ts")).alias("ts_ms"), "ts", "event_id", F.floor("value").alias("v"), F.col("value").alias("gauge"))
-    e = e.withColumn("n", F.row_number().over(own.orderBy("ts", "event_id")) - 1).withColumn("run", F.expr("n div 40"))
-    value = F.sum("v").over(W.partitionBy("topic", "broker", "run").orderBy("ts_ms", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    e = e.withColumn("n", F.row_number().over(own.orderBy(*_last("ts", "event_id"))) - 1).withColumn("run", F.expr("n div 40"))
+    # Without a frame of rows, as in SQL: events of one time and id go up together.
+    value = F.sum("v").over(W.partitionBy("topic", "broker", "run").orderBy(*_last("ts_ms", "event_id")))
     return e.select("topic", "broker", "ts_ms", "n", value.cast("double").alias("value"), "gauge", "run", "ts", "event_id")
 
 
@@ -174,5 +180,5 @@ def ema_fold(spark, d):
 def rolling_chart(spark, d):
     s = _samples(spark, d).drop("value").withColumnRenamed("gauge", "value")
     # As events occurred: SQL's ts_ms alone leaves samples of one millisecond open. Events without a time come last there.
-    found = M.rolling(s, SERIES, order=(F.col("ts").asc_nulls_last(), "event_id"))
+    found = M.rolling(s, SERIES, order=_last("ts", "event_id"))
     return found.select("topic", "broker", "ts_ms", "value", F.round("mean", 6).alias("mean"))

@@ -4,11 +4,12 @@ import datetime
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from logloom.operators import metrics
 from logloom.plans import metric_plans
-from logloom.plans.catalog import QUERIES
+from logloom.plans.catalog import ORACLE_SQL, QUERIES
 
 DAY = metric_plans.DAY
 
@@ -132,3 +133,32 @@ def test_rolling_of_samples_at_one_time(spark):
     samples = spark.createDataFrame([("a", 0, 2, 5.0), ("a", 0, 3, 1.0), ("a", 0, 1, 9.0)], "s string, ts_ms long, n int, value double")
     assert [r["mean"] for r in metrics.rolling(samples, ["s"], 2).orderBy("value").collect()] == [1.0, 3.0, 7.0]
     assert [r["mean"] for r in metrics.rolling(samples, ["s"], 2, ("ts_ms", "n")).orderBy("n").collect()] == [9.0, 7.0, 3.0]
+
+
+@pytest.fixture(scope="module")
+def closed(spark, tmp_path_factory):
+    """Tables whose SQL leaves nothing open: every event twice, as it is; and one event without a time in each log, among falls and rises."""
+    rng = random.Random(5)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(minutes=7 * i), rng.randrange(12), rng.choice(["view", "click"]), rng.uniform(0, 50), "{}") for i in range(600)]
+    timeless = [(600 + i, None, i % 3, ["view", "click"][i // 3], 20.0, "{}") for i in range(6)]
+    signed = [(i, ts, user, kind, value * rng.choice([1, -1]), props) for i, ts, user, kind, value, props in rows]
+    folders = []
+    for name, table in (("repeated", rows + rows), ("timeless", signed + timeless)):
+        folders.append(str(tmp_path_factory.mktemp(name)))
+        spark.createDataFrame(table, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folders[-1]}/events.parquet")
+    return folders
+
+
+def assert_as_sql(spark, name, folders):
+    for folder in folders:
+        found = QUERIES[name](spark, folder)
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS FROM '{folder}/events.parquet/*.parquet'")
+        columns = ", ".join(f'"{c}"' for c in found.columns)
+        want = con.execute(f"SELECT {columns} FROM ({ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_increase_daily_of_events_repeated_or_without_a_time(spark, closed):
+    assert_as_sql(spark, "increase_daily", closed)
