@@ -162,3 +162,7 @@ def assert_as_sql(spark, name, folders):
 
 def test_increase_daily_of_events_repeated_or_without_a_time(spark, closed):
     assert_as_sql(spark, "increase_daily", closed)
+
+
+def test_mean_by_rates_of_events_repeated_or_without_a_time(spark, closed):
+    assert_as_sql(spark, "mean_by_rates", closed)
