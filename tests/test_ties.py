@@ -170,3 +170,7 @@ def test_mean_by_rates_of_events_repeated_or_without_a_time(spark, closed):
 
 def test_rate_by_label_of_events_repeated_or_without_a_time(spark, closed):
     assert_as_sql(spark, "rate_by_label", closed)
+
+
+def test_rate_daily_of_events_repeated_or_without_a_time(spark, closed):
+    assert_as_sql(spark, "rate_daily", closed)
